@@ -41,8 +41,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return prepare(spark)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder named by ``spark.checkpoint.dir``.
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
     Only a local master may fall back to a folder of this machine.
     """
@@ -52,7 +52,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="wardlake-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/wardlake/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/wardlake"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -61,12 +66,6 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def materialise(df, name: str, partition_by: tuple[str, ...] = ()):
-    """Write ``df`` below the shared folder and read it back (cuts the lineage)."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def delete_path(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
