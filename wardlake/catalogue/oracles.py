@@ -110,7 +110,7 @@ clinic AS (
 
 VERSIONS = f"""versions AS (
   SELECT l_orderkey AS checkup_id, {_DEPARTMENTS}[1 + l_suppkey % 5] AS department_name,
-    CAST(CAST(date_trunc('month', l_shipdate) AS DATE) AS VARCHAR) AS checkup_date,
+    CAST(CAST(date_trunc('year', l_shipdate) AS DATE) AS VARCHAR) AS checkup_date,
     CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS updated_on, CAST(l_linenumber AS BIGINT) AS line,
     l_partkey AS part_id, l_suppkey AS hospital_id, CAST(l_quantity AS BIGINT) AS quantity, l_returnflag AS flag
   FROM lineitem),
@@ -163,7 +163,7 @@ DEFECTS = """defects AS (
         || CASE WHEN has_insights THEN '; ClinicalImpression.status: field required' ELSE '' END
       WHEN 4 THEN 'not a JSON object' WHEN 5 THEN 'empty string' END AS error,
     CASE WHEN department_name IS NULL THEN 'unassigned' ELSE department_name END AS department,
-    CAST(CAST(date_trunc('month', created_on) AS DATE) AS VARCHAR) AS month FROM clinic)"""
+    CAST(CAST(date_trunc('year', created_on) AS DATE) AS VARCHAR) AS year FROM clinic)"""
 
 _CUM = f"""steps AS (
   SELECT namespace, unnest(list_distinct(departments)) AS department_name, date_start, date_end FROM usable),
@@ -284,7 +284,7 @@ SELECT status AS fhir_validation_status, error AS validation_error, '19990101T00
 FROM defects GROUP BY ALL""",
     "publish_partitions": f"""WITH {CLINIC}, {DEFECTS}
 SELECT CASE WHEN status = 'VALID' THEN 'checkups' ELSE 'checkups_errors' END AS table_name, department AS department_name,
-  month AS checkup_date, 'b1' AS batch_id, '1995-01-01' AS batch_start_ts, '2002-01-01' AS batch_end_ts,
+  year AS checkup_date, 'b1' AS batch_id, '1995-01-01' AS batch_start_ts, '2002-01-01' AS batch_end_ts,
   '1999-01-01' AS ingest_date, count(*) AS records FROM defects GROUP BY ALL""",
     "upsert_latest": f"WITH {VERSIONS} SELECT * FROM newest",
     "upsert_table": _MERGED,
@@ -340,7 +340,7 @@ FROM named n LEFT JOIN owners o ON n.namespace = o.namespace AND n.access_key_id
 held AS (
   SELECT DISTINCT request_id || '-' || line || '-' || part_id || '-' || hospital_id || '-' || status AS grant_id, request_id,
     status, access_key_id, cred_expiration, hospital_id FROM responses)
-SELECT grant_id, CASE WHEN hospital_id % 9 = 0 THEN 'not found' WHEN status <> 'APPROVED' THEN 'not approved: ' || status
+SELECT grant_id, CASE WHEN hospital_id % 9 = 0 THEN 'not found' WHEN held.status <> 'APPROVED' THEN 'not approved: ' || held.status
     WHEN access_key_id = '' THEN 'no credentials' WHEN cred_expiration < {_NOW} THEN 'expired' ELSE 'ok' END AS reason,
   count(*) AS n FROM held JOIN requests USING (request_id) GROUP BY ALL""",
     "request_status_rollup": f"""WITH {REQUESTS}, {RESPONSES}, tallies AS (

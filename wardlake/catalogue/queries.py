@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardlake.catalogue import standins as S
 from wardlake.functions import idents, text, times
-from wardlake.functions.jsonlist import parse_json_items
+from wardlake.functions.jsonlist import with_json_items
 from wardlake.operators import federate, governance, jobs, listing, scope
 from wardlake.operators.latest import latest
 from wardlake.operators.nest import nest
@@ -112,14 +112,14 @@ def parse_json_items_list(t):
         12: F.lit(None).cast("string"),
     }
     raw = t.lineitem.join(t.part, k == F.col("p_partkey")).select(S.by_remainder(k, 13, odd, described).alias("raw"))
-    lists = raw.select(text.summary(parse_json_items(F.col("raw"))).alias("items"))
+    lists = with_json_items(raw, {"raw": "list"}).select(text.summary(F.col("list")).alias("items"))
     return lists.groupBy("items").agg(F.count("*").alias("n"))
 
 
 @query
 def parse_json_objects(t):
     """Event properties are JSON objects, not lists, so every list is empty."""
-    items = t.events.select("event_type", F.size(parse_json_items(F.col("props"))).alias("n"))
+    items = with_json_items(t.events, {"props": "list"}).select("event_type", F.size("list").alias("n"))
     return items.groupBy("event_type").agg(F.count("*").alias("events"), long(F.sum("n")).alias("items"))
 
 
@@ -241,16 +241,16 @@ def validate_split(t):
 # --- publishing ------------------------------------------------------------
 
 
-def _monthly(t):
-    """Validated checkups dated by month, so that a partition holds many rows."""
-    month = F.date_trunc("month", F.col("checkup_created_at"))
-    return validate(_defective(t).withColumn("checkup_created_at", month), S.now())
+def _yearly(t):
+    """Validated checkups dated by year, so that a partition holds many rows."""
+    year = F.date_trunc("year", F.col("checkup_created_at"))
+    return validate(_defective(t).withColumn("checkup_created_at", year), S.now())
 
 
 @query
 def publish_partitions(t):
     root = scratch_path(t.spark, "publish")
-    publish.publish(_monthly(t), root, "b1", "1995-01-01", "2002-01-01", S.now())
+    publish.publish(_yearly(t), root, "b1", "1995-01-01", "2002-01-01", S.now())
     published = [
         publish.read_table(t.spark, f"{root}/{name}").withColumn("table_name", F.lit(name))
         for name in (publish.TABLE, publish.ERROR_TABLE)
@@ -320,17 +320,19 @@ def _request(t, columns: tuple[str, ...]) -> tuple[list[federate.Branch], dict[s
         _usable_grants(t)
         .filter(F.col("namespace").isin(*names))
         .groupBy("namespace")
-        .agg(F.min_by(F.struct("grant_id", "requestor_id", "departments"), "k").alias("grant"))
-    )
-    every = S.grants(t).withColumns({"date_start": F.lit(None).cast("date"), "date_end": F.lit(None).cast("date")})
-    branches = []
-    for row in first.select("grant.*").collect():
-        selection = federate.Selection(row.grant_id, tuple(row.departments), "1995-06-01", "2000-06-30")
-        asked = federate.Request(row.requestor_id, (selection,), columns=columns)
-        owners = every.select("request_id", "requestor_id")
-        branches += federate.check_request(asked, every.drop("requestor_id"), owners, S.now())
+        .agg(F.min_by(F.struct("grant_id", "departments"), "k").alias("grant"))
+        .select("grant.*")
+    )
+    selections = [
+        federate.Selection(row.grant_id, tuple(row.departments), "1995-06-01", "2000-06-30") for row in first.collect()
+    ]
+    open_ended = {"date_start": F.lit(None).cast("date"), "date_end": F.lit(None).cast("date")}
+    held = S.grants(t).drop("requestor_id").withColumns(open_ended)
+    owners = held.select("request_id", F.lit("asker").alias("requestor_id"))
+    asked = federate.Request("asker", tuple(selections), columns=columns)
     rows = S.checkups(t)
-    return branches, {n: rows.filter(F.col("namespace") == n) for n in names}
+    sites = {n: rows.filter(F.col("namespace") == n) for n in names}
+    return federate.check_request(asked, held, owners, S.now()), sites
 
 
 @query
@@ -653,7 +655,7 @@ def stream_sync(t):
     store = scratch_path(t.spark, "store")
     schema = t.events.schema
     for _ in range(2):
-        polled = ingest.arriving(t.spark, f"{t.folder}/events.parquet", schema).select(
+        polled = ingest.arriving(t.spark, t.folder, schema, pattern="events.parquet").select(
             F.col("event_id").alias("request_id"), F.col("user_id").alias("requestor_id"), "event_type"
         )
         sync.stream_sync(polled, store, scratch_path(t.spark, "checkpoint"))

@@ -21,7 +21,9 @@ class Tables:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def now() -> Column:
@@ -216,7 +218,7 @@ def versions(t: Tables) -> DataFrame:
         F.element_at(F.array(*[F.lit(d) for d in DEPARTMENTS]), (1 + F.col("l_suppkey") % 5).cast("int")).alias(
             "department_name"
         ),
-        F.trunc(F.col("l_shipdate").cast("date"), "month").alias("checkup_date"),
+        F.trunc(F.col("l_shipdate").cast("date"), "year").alias("checkup_date"),
         F.col("l_shipdate").cast("date").alias("updated_on"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part_id"),

@@ -106,19 +106,17 @@ def partition_resources(
 ) -> Column:
     """Every table × department × pattern as the address of its partitions."""
 
-    def address(table: str, department: Column, pattern: Column) -> Column:
-        return F.concat(
-            F.lit(RESOURCE_PREFIX), bucket, F.lit("/iceberg/"), namespace, F.lit(f"/{table}/data/department_name="),
-            department, F.lit("/checkup_date="), pattern, F.lit("/*"),
-        )
+    def of_table(table: str) -> Column:
+        def of_department(department: Column) -> Column:
+            folder = F.concat(
+                *(F.lit(RESOURCE_PREFIX), bucket, F.lit("/iceberg/"), namespace, F.lit(f"/{table}/data/department_name=")),
+                *(department, F.lit("/checkup_date=")),
+            )
+            return F.transform(patterns, lambda pattern: F.concat(folder, pattern, F.lit("/*")))
 
-    per_table = [
-        F.flatten(
-            F.transform(departments, lambda d, t=t: F.transform(patterns, lambda p, t=t, d=d: address(t, d, p)))
-        )
-        for t in tables
-    ]
-    return F.concat(*per_table)
+        return F.flatten(F.transform(departments, of_department))
+
+    return F.concat(*[of_table(t) for t in tables])
 
 
 def policy_json(
