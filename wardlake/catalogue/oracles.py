@@ -443,9 +443,22 @@ SELECT CAST(k AS VARCHAR) AS k, '["' || departments[1] || '","' || departments[2
     "stream_sync": """
 SELECT 'pending' AS status, 'data_access' AS request_type, '{"request_id":' || event_id || ',"requestor_id":' || user_id
   || ',"event_type":"' || event_type || '"}' AS request_payload FROM events""",
-    "catalog_columns": """
-SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name FROM information_schema.columns
-WHERE table_name IN ('orders', 'lineitem', 'customer', 'events', 'documents')""",
+    "throttle_events": """WITH RECURSIVE anchors AS (
+  SELECT user_id, min(ts) AS opened FROM events GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, min(e.ts) FROM anchors a JOIN events e ON e.user_id = a.user_id AND e.ts > a.opened + INTERVAL 6 HOURS
+  GROUP BY a.user_id),
+placed AS (
+  SELECT e.user_id, e.event_id, a.opened, row_number() OVER (PARTITION BY e.user_id, a.opened ORDER BY e.ts, e.event_id) AS rn
+  FROM events e ASOF JOIN anchors a ON e.user_id = a.user_id AND e.ts >= a.opened)
+SELECT user_id, count(*) AS events, count(*) FILTER (rn <= 5) AS passed, count(DISTINCT opened) AS windows,
+  CAST(sum(event_id) FILTER (rn <= 5) AS BIGINT) AS passed_ids FROM placed GROUP BY user_id""",
+    "catalog_columns": """WITH counts AS (
+  SELECT 'orders' AS table_name, count(*) AS records FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
+  UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events
+  UNION ALL SELECT 'documents', count(*) FROM documents)
+SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name, records
+FROM information_schema.columns JOIN counts USING (table_name)""",
     "nested_medications": """
 SELECT l_orderkey, count(*) AS items, CAST(sum(l_partkey) AS BIGINT) AS part_sum FROM lineitem GROUP BY l_orderkey""",
 }

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +21,7 @@ from wardlake.session import prepare, scratch_path
 from wardlake.sources import browse, extract, publish
 from wardlake.sources.denormalise import denormalise
 from wardlake.streaming import ingest, sync
+from wardlake.streaming.throttle import throttle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -112,8 +113,9 @@ def parse_json_items_list(t):
         12: F.lit(None).cast("string"),
     }
     raw = t.lineitem.join(t.part, k == F.col("p_partkey")).select(S.by_remainder(k, 13, odd, described).alias("raw"))
-    lists = with_json_items(raw, {"raw": "list"}).select(text.summary(F.col("list")).alias("items"))
-    return lists.groupBy("items").agg(F.count("*").alias("n"))
+    texts = raw.groupBy("raw").agg(F.count("*").alias("copies"))
+    lists = with_json_items(texts, {"raw": "list"}).select(text.summary(F.col("list")).alias("items"), "copies")
+    return lists.groupBy("items").agg(F.sum("copies").alias("n"))
 
 
 @query
@@ -663,11 +665,41 @@ def stream_sync(t):
     return kept.select("status", "request_type", "request_payload")
 
 
+@query
+def throttle_events(t):
+    """At most five events per user in six hours, over events that arrive in four stretches of time."""
+    arrivals, verdicts = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "verdicts")
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    edges = [first + (last - first) * i / 4 for i in range(1, 4)]
+    for low, high in zip([None, *edges], [*edges, None]):
+        stretch = t.events if low is None else t.events.filter(F.col("ts") >= F.lit(low))
+        stretch = stretch if high is None else stretch.filter(F.col("ts") < F.lit(high))
+        stretch.coalesce(1).write.mode("append").parquet(arrivals)
+    stream = ingest.arriving(t.spark, arrivals, t.events.schema, files_per_batch=1)
+    decided = throttle(stream, "user_id", "ts", "event_id", window_seconds=6 * 3600, limit=5)
+    ingest.append_available(decided, verdicts, scratch_path(t.spark, "checkpoint"))
+    schema = "key long, ident long, opened long, allowed boolean"
+    return (
+        t.spark.read.schema(schema)
+        .parquet(verdicts)
+        .groupBy(F.col("key").alias("user_id"))
+        .agg(
+            F.count("*").alias("events"),
+            F.count_if("allowed").alias("passed"),
+            F.count_distinct("opened").alias("windows"),
+            F.sum(F.when(F.col("allowed"), F.col("ident"))).alias("passed_ids"),
+        )
+    )
+
+
 @query
 def catalog_columns(t):
+    """Columns of the tables, with the rows each table holds."""
     names = ("orders", "lineitem", "customer", "events", "documents")
     columns = browse.list_columns({n: getattr(t, n) for n in names})
-    return columns.select("table_name", long("position").alias("position"), "column_name")
+    counts = [getattr(t, n).agg(F.count("*").alias("records")).withColumn("table_name", F.lit(n)) for n in names]
+    rows = columns.join(reduce(DataFrame.unionByName, counts), "table_name")
+    return rows.select("table_name", long("position").alias("position"), "column_name", "records")
 
 
 @query
