@@ -106,11 +106,12 @@ def test_limits():
 
 
 def test_result(spark):
-    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 2), bytearray(b"x"))], "i int, t timestamp, b binary")
+    rows = [(1, dt.datetime(2024, 1, 1, 2), bytearray(b"x")), (2, None, bytearray(b'{"a":1}'))]
+    df = spark.createDataFrame(rows, "i int, t timestamp, b binary")
     result = federate.to_result(df)
     assert result.columns == ["i", "t", "b"]
-    assert result.rows == [[1, "2024-01-01T02:00:00Z", "x"]]
-    assert result.row_count == 1
+    assert result.rows == [[1, "2024-01-01T02:00:00Z", "x"], [2, None, {"a": 1}]]
+    assert result.row_count == 2
     assert federate.preview(spark.range(500)).count() == 100
 
 

@@ -236,7 +236,7 @@ SELECT o_orderkey AS checkup_id, CASE WHEN o_orderkey % 6 < 3 THEN 'unassigned'
     "split_items": f"""
 SELECT doc_id, CAST(len(items) AS BIGINT) AS n_items, array_to_string(items, '; ') AS summary
 FROM (SELECT doc_id, {_split('text')} AS items FROM documents)""",
-    "parse_json_items_list": """
+    "parse_json_items": """
 SELECT items, count(*) AS n FROM (
   SELECT CASE WHEN l_partkey % 13 < 8 THEN p_name
     || CASE l_partkey % 3 WHEN 0 THEN ' ' || CAST(l_quantity AS BIGINT) || 'mg'
@@ -441,9 +441,9 @@ SELECT left(access_key_id, 6) || repeat('•', 12) || right(access_key_id, 4) AS
 SELECT CAST(k AS VARCHAR) AS k, '["' || departments[1] || '","' || departments[2] || '"]' AS departments,
   CAST(date_start AS VARCHAR) AS date_start, status FROM grants""",
     "stream_sync": """
-SELECT 'pending' AS status, 'data_access' AS request_type, '{"request_id":' || event_id || ',"requestor_id":' || user_id
+SELECT event_id AS request_id, 'pending' AS status, 'data_access' AS request_type, '{"request_id":' || event_id || ',"requestor_id":' || user_id
   || ',"event_type":"' || event_type || '"}' AS request_payload FROM events""",
-    "throttle_events": """WITH RECURSIVE anchors AS (
+    "throttle": """WITH RECURSIVE anchors AS (
   SELECT user_id, min(ts) AS opened FROM events GROUP BY user_id
   UNION ALL
   SELECT a.user_id, min(e.ts) FROM anchors a JOIN events e ON e.user_id = a.user_id AND e.ts > a.opened + INTERVAL 6 HOURS

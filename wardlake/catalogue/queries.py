@@ -14,6 +14,7 @@ from wardlake.functions.jsonlist import with_json_items
 from wardlake.operators import federate, governance, jobs, listing, scope
 from wardlake.operators.latest import latest
 from wardlake.operators.nest import nest
+from wardlake.plans import batch
 from wardlake.plans.bundle import bundle_entries
 from wardlake.plans.normalise import normalise, with_bundle
 from wardlake.plans.validate import validate
@@ -21,7 +22,7 @@ from wardlake.session import prepare, scratch_path
 from wardlake.sources import browse, extract, publish
 from wardlake.sources.denormalise import denormalise
 from wardlake.streaming import ingest, sync
-from wardlake.streaming.throttle import throttle
+from wardlake.streaming import throttle as throttling
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -90,7 +91,7 @@ def split_items(t):
 
 
 @query
-def parse_json_items_list(t):
+def parse_json_items(t):
     k = F.col("l_partkey")
     size = F.col("l_quantity").cast("long")
     described = F.to_json(
@@ -252,7 +253,7 @@ def _yearly(t):
 @query
 def publish_partitions(t):
     root = scratch_path(t.spark, "publish")
-    publish.publish(_yearly(t), root, "b1", "1995-01-01", "2002-01-01", S.now())
+    batch.run_batch(_yearly(t), root, "b1", "1995-01-01", "2002-01-01", S.now(), checked=True)
     published = [
         publish.read_table(t.spark, f"{root}/{name}").withColumn("table_name", F.lit(name))
         for name in (publish.TABLE, publish.ERROR_TABLE)
@@ -662,11 +663,11 @@ def stream_sync(t):
         )
         sync.stream_sync(polled, store, scratch_path(t.spark, "checkpoint"))
     kept = t.spark.read.parquet(store)
-    return kept.select("status", "request_type", "request_payload")
+    return kept.select("request_id", "status", "request_type", "request_payload")
 
 
 @query
-def throttle_events(t):
+def throttle(t):
     """At most five events per user in six hours, over events that arrive in four stretches of time."""
     arrivals, verdicts = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "verdicts")
     first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
@@ -676,7 +677,7 @@ def throttle_events(t):
         stretch = stretch if high is None else stretch.filter(F.col("ts") < F.lit(high))
         stretch.coalesce(1).write.mode("append").parquet(arrivals)
     stream = ingest.arriving(t.spark, arrivals, t.events.schema, files_per_batch=1)
-    decided = throttle(stream, "user_id", "ts", "event_id", window_seconds=6 * 3600, limit=5)
+    decided = throttling.throttle(stream, "user_id", "ts", "event_id", window_seconds=6 * 3600, limit=5)
     ingest.append_available(decided, verdicts, scratch_path(t.spark, "checkpoint"))
     schema = "key long, ident long, opened long, allowed boolean"
     return (

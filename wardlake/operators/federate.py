@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import date
@@ -174,17 +175,23 @@ def preview(df: DataFrame) -> DataFrame:
     return df.limit(PREVIEW_ROWS)
 
 
+def _value(held):
+    """Binary as JSON where it is JSON, else as text; anything else as it is."""
+    if not isinstance(held, bytes | bytearray):
+        return held
+    try:
+        return json.loads(held)
+    except ValueError:
+        return held.decode(errors="replace")
+
+
 def to_result(df: DataFrame) -> Result:
     """Columns and rows of a limited result; times as RFC 3339, binary as JSON or text."""
 
     def shown(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
-        if kind.startswith("timestamp"):
-            return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(name)
-        if kind == "binary":
-            return c.cast("string").alias(name)
-        return c
+        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(name) if kind.startswith("timestamp") else c
 
     kept = df.limit(MAX_LIMIT).select(*[shown(n, t) for n, t in df.dtypes])
-    rows = [list(r) for r in kept.collect()]
+    rows = [[_value(v) for v in r] for r in kept.collect()]
     return Result(df.columns, rows, len(rows))

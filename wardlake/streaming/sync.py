@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.operators.governance import unseen_requests
 from wardlake.session import path_exists
 from wardlake.streaming.ingest import run_available
 
@@ -13,8 +12,12 @@ PAYLOAD = "request_payload"
 
 
 def as_stored(requests: DataFrame) -> DataFrame:
-    """A pending local request that carries the central one as JSON."""
+    """A pending local request that carries the central one as JSON.
+
+    The id is a column as well, so that the next poll need not read the JSON.
+    """
     return requests.select(
+        "request_id",
         F.lit("data_access").alias("request_type"),
         F.lit("pending").alias("status"),
         F.to_json(F.struct(*requests.columns)).alias(PAYLOAD),
@@ -28,7 +31,7 @@ def stream_sync(stream: DataFrame, store: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         polled = batch.dropDuplicates(["request_id"])
         if path_exists(spark, f"{store}/_SUCCESS"):
-            polled = unseen_requests(polled, spark.read.parquet(store))
+            polled = polled.join(spark.read.parquet(store).select("request_id"), "request_id", "left_anti")
         as_stored(polled).write.mode("append").parquet(store)
 
     run_available(stream, checkpoint, keep_new)
