@@ -198,11 +198,13 @@ OBSERVATION = {"resourceType": "Observation", "status": "final", "code": {"text"
         ("[]", "not a JSON object"),
         ("7", "not a JSON object"),
         ("{}", "resourceType: not a Bundle; Bundle.type: field required"),
-        ('{"resourceType":"Bundle","type":"c","entry":{}}', "Bundle.entry: not a list of resources"),
+        ('{"resourceType":"Bundle","type":"c","entry":{}}', "Bundle.entry: malformed"),
         (bundle(OBSERVATION), None),
         (bundle(), None),
         (bundle({"resourceType": "Observation", "status": "final"}), "Observation.code: field required"),
         (bundle(OBSERVATION | {"code": None}), "Observation.code: field required"),
+        (bundle(OBSERVATION | {"code": "text"}), "Observation.code: field required"),
+        (bundle(OBSERVATION | {"code": {}}), None),
         (bundle(OBSERVATION | {"valueString": ""}), "empty string"),
         (bundle(OBSERVATION | {"valueString": 'says ": ""'}), None),
         (bundle({"resourceType": "Condition", "subject": {}}), "Condition.clinicalStatus: field required"),
