@@ -209,6 +209,22 @@ def test_enforcement_against_brute_force(spark):
     assert counts == {r[1:]: len(covering(r)) for r in rows if covering(r)}
 
 
+def test_enforcement_skips_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, "a", d, D(2024, 1, 1 + i % 5)) for i, d in enumerate("XYZ" * 20)]
+    schema = "id int, namespace string, department_name string, checkup_date date"
+    spark.createDataFrame(rows, schema).write.partitionBy("department_name", "checkup_date").parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    grants = spark.createDataFrame(
+        [("a", ["X"], D(2024, 1, 2), D(2024, 1, 3))],
+        "namespace string, departments array<string>, date_start date, date_end date",
+    )
+    out = scope.enforce(table, grants)
+    assert {r.id for r in out.collect()} == {r[0] for r in rows if r[2] == "X" and r[3].day in (2, 3)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan and "BroadcastHashJoin" in plan
+
+
 def test_paths(spark):
     grants = spark.createDataFrame(
         [

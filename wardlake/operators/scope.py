@@ -14,6 +14,7 @@ from wardlake.functions.idents import (
     usable_credential,
 )
 from wardlake.functions.times import checked_date
+from wardlake.session import written
 
 # The policy document's version, statement names, actions and
 # resource shapes, and the size above which a policy is refused.
@@ -243,12 +244,13 @@ def enforce(rows: DataFrame, grants: DataFrame, partitions: DataFrame | None = N
     """The rows some grant covers.
 
     Whether a row is readable depends only on its partition, so grants are
-    settled per partition and the rows are kept by an equality join, which on a
-    partitioned table also prunes the partitions read.
+    settled per partition first, into a table of at most one row per site,
+    department and day. An equality join with it keeps the rows; on a
+    partitioned table that also skips the partitions nobody may read.
     """
     held = rows if partitions is None else partitions
-    readable = covered_partitions(held, grants).drop("grants_in_force")
-    return rows.join(readable, ["namespace", "department_name", "checkup_date"], "left_semi")
+    settled = written(covered_partitions(held, grants), "covered").filter(F.col("grants_in_force") > 0)
+    return rows.join(settled.drop("grants_in_force"), ["namespace", "department_name", "checkup_date"], "left_semi")
 
 
 def attribute_paths(paths: DataFrame, grants: DataFrame, now: Column, path: str = "path") -> DataFrame:
