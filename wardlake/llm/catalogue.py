@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat, decontaminate, shard
+from wardlake.llm import chat, decontaminate, neighbours, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +116,8 @@ FROM ds JOIN bs USING (g) GROUP BY doc_id, item_id, n HAVING count(*) * 5 >= n *
 @query("op10_decontamination", LEAK_SQL)
 def op10_decontamination(spark, folder):
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, folder):
+    return neighbours.near_duplicates(table(spark, folder, "documents"))
