@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlake.llm import chat, decontaminate, neighbours, shard
+from wardlake.llm import chat, decontaminate, neighbours, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,3 +121,16 @@ def op10_decontamination(spark, folder):
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, folder):
     return neighbours.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op9_repeated_text")
+def op9_repeated_text(spark, folder):
+    cleaned = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])
+    return cleaned.select(
+        "row.doc_id",
+        F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"),
+        gone.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
