@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, decontaminate, lm, neighbours, repeats, shard
+from wardlake.llm import chat, decontaminate, encode, lm, neighbours, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,15 @@ def op8_lm_scoring(spark, folder):
         "base_score",
         "score",
     )
+
+
+@query("op3_bpe_encoding")
+def op3_bpe_encoding(spark, folder):
+    path = tokenizer_path("byte_bpe_50k.json")
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return encode.decode(encode.encode(documents, path), path).select(
+        "row.doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"),
+    )
