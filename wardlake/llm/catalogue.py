@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, decontaminate, encode, lm, neighbours, repeats, shard
+from wardlake.llm import chat, counts, decontaminate, encode, lm, neighbours, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,15 @@ def op3_bpe_encoding(spark, folder):
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         sha(F.col("decoded")).alias("decoded_sha256"),
     )
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    counted = counts.prefix_counts(documents, tokenizer_path("word_bpe_49k.json"))
+    return counted.select(
+        "row.doc_id",
+        F.octet_length(F.coalesce("row.text", F.lit(""))).cast("long").alias("n_bytes"),
+        "n_tokens",
+        (F.col("n_tokens") > 2048).alias("over_limit"),
+    )

@@ -23,7 +23,7 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 def classes() -> np.ndarray:
     """The class of every code point, by the character tables the tokenizers library has."""
     table = np.full(0x110000, OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))  # no letters or numbers beyond
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
         for run, _ in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
             table[np.frombuffer(run.encode("utf-32-le"), np.uint32)] = kind
