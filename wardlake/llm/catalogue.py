@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, counts, decontaminate, encode, lm, neighbours, repeats, shard
+from wardlake.llm import chat, counts, decontaminate, encode, fingerprints, lm, neighbours, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,16 @@ def op4_token_counts(spark, folder):
         "n_tokens",
         (F.col("n_tokens") > 2048).alias("over_limit"),
     )
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark, folder):
+    return fingerprints.fingerprints(table(spark, folder, "documents")).select(
+        "doc_id",
+        "n_chars",
+        sha(F.col("edited")).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
