@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, counts, decontaminate, encode, fingerprints, lm, neighbours, repeats, shard
+from wardlake.llm import chat, counts, decontaminate, encode, fingerprints, lm, neighbours, quality, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -188,3 +188,8 @@ def op1_fingerprints(spark, folder):
         "near_edited",
         "near_next",
     )
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, folder):
+    return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
