@@ -202,13 +202,13 @@ def _held_out(total: int, distinct: int):
 
 def maximise(cells: list[tuple[int, int, int, int]]) -> np.ndarray:
     """Weights (bigram, word, uniform) of each bucket, by expectation-maximisation on the held-out cells."""
-    weights = np.full((BUCKETS, 3), 1 / 3)
+    # Where nothing was held out, words alone; where nothing was learned, no words either.
+    weights = np.tile((0.0, 0.99, 0.01) if cells else (0.0, 0.0, 1.0), (BUCKETS, 1))
     table = np.array(cells, np.float64).reshape(-1, 4)
     for b in range(BUCKETS):
         own = table[table[:, 0] == b]
-        if b == 0 or not len(own):
-            weights[b] = (0, 0.99, 0.01) if not len(own) else weights[b]
         if len(own):
+            weights[b] = 1 / 3
             ratios = np.stack([2 ** (own[:, 1] / STEP), 2 ** (own[:, 2] / STEP), np.ones(len(own))], axis=1)
             ratios[:, :2][ratios[:, :2] <= 2.0**-59] = 0
             for _ in range(ROUNDS):
