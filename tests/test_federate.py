@@ -101,8 +101,15 @@ def test_bad_names(grants, requests, tables):
 
 
 def test_limits():
-    given = {0: 1000, -1: 1000, 1: 1, 10_000: 10_000, 10_001: 1000, 500: 500}
-    assert {n: federate.clamp_limit(n) for n in given} == given
+    assert [federate.checked_limit(n) for n in (None, 1, 10_000, 10_001)] == [None, 1, 10_000, 10_001]
+    for bad in (0, -1):
+        with pytest.raises(ValueError, match="limit"):
+            federate.checked_limit(bad)
+
+
+def test_a_cut_result_says_so(spark):
+    whole, cut = federate.to_result(spark.range(5), 5), federate.to_result(spark.range(6), 5)
+    assert (whole.row_count, whole.cut, cut.row_count, cut.cut, len(cut.rows)) == (5, False, 5, True, 5)
 
 
 def test_result(spark):

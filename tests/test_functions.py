@@ -192,3 +192,38 @@ def test_stringify(spark):
     out = text.stringify(df, keep=("d",))
     assert [t for _, t in out.dtypes] == ["string", "string", "date", "string", "string"]
     assert tuple(out.first()) == ("1", '["a","b"]', dt.date(2024, 1, 2), "t", None)
+
+
+def test_json_text_is_unwrapped_until_it_is_no_string(spark):
+    import json
+
+    from wardlake.functions.jsonlist import with_json_items
+
+    texts, wanted = [], []
+    for depth in range(7):
+        text = json.dumps(["a", "b"])
+        for _ in range(depth):
+            text = json.dumps(text)
+        texts.append((depth, text))
+        wanted.append((depth, ["a", "b"]))
+    texts += [(90, '""'), (91, '"x, y"'), (92, json.dumps('"x')), (93, '"'), (94, None)]
+    wanted += [(90, []), (91, ["x", "y"]), (92, ['"x']), (93, ['"']), (94, [])]
+    rows = with_json_items(spark.createDataFrame(texts, "i int, t string"), {"t": "items"}).collect()
+    assert sorted((r.i, r["items"]) for r in rows) == wanted
+
+
+def test_a_text_that_is_no_time_stays(spark):
+    from wardlake.functions.times import iso_timestamp
+
+    rows = spark.createDataFrame([("not a date",), ("2024-01-02 03:04:05",), (None,)], "t string")
+    got = [r[0] for r in rows.select(iso_timestamp(F.col("t"))).collect()]
+    assert got == ["not a date", "2024-01-02T03:04:05+00:00", None]
+
+
+def test_run_batch_survives_unreadable_times(spark, tmp_path):
+    from wardlake.plans.batch import run_batch
+
+    schema = "checkup_id int, checkup_created_at string, checkup_updated_at string, department_name string, notes string"
+    rows = [(1, "2024-01-02 03:04:05", None, "A", "n"), (2, "not a date", "nor this", "A", "n"), (None, "2024-01-02", None, "A", "n")]
+    run = run_batch(spark.createDataFrame(rows, schema), str(tmp_path / "lake"), "b", "", "")
+    assert (run.records_extracted, run.records_failed) == (3, 2)

@@ -99,7 +99,9 @@ def test_listing(spark):
     assert listing.search(df, "24", ["id"]).count() == 13
     newest = [F.col("id").desc()]
     page = listing.page(df, newest, limit=999, offset=5).collect()
-    assert [page[0].id, page[-1].id, len(page), page[0].total] == [244, 145, 100, 250]
+    assert [page[0].id, page[-1].id, len(page), page[0].total] == [244, 0, 245, 250]
+    with pytest.raises(ValueError, match="limit 0"):
+        listing.page(df, newest, limit=0)
     assert [r.id for r in listing.page(df, newest).collect()] == list(range(249, 229, -1))
     assert len(listing.recent(df, newest).collect()) == 5
 
@@ -121,23 +123,14 @@ def test_browse(spark, tmp_path):
 def test_nest_keeps_every_row_of_hot_keys(spark):
     rows = [("hot", i % 7, i) for i in range(500)] + [("copies", 1, 1)] * 300 + [("small", i, i) for i in range(5)]
     df = spark.createDataFrame(rows + [(None, 1, 1)], "k string, a int, b int").repartition(5)
-    lists = nest(df, ["k"], F.struct("a", "b"), "items", max_items=50).collect()
-    got = {}
-    for row in lists:
-        got.setdefault(row.k, []).extend((i.a, i.b) for i in row["items"])
-        assert [tuple(i) for i in row["items"]] == sorted(tuple(i) for i in row["items"])
-        assert len(row["items"]) < 250
-    assert {k: sorted(v) for k, v in got.items()} == {
-        k: sorted((a, b) for key, a, b in rows if key == k) for k in ("hot", "copies", "small")
-    }
-    assert sum(r.k == "hot" for r in lists) >= 5
-    assert sum(r.k == "copies" for r in lists) >= 3
-    assert [r.part for r in lists if r.k == "small"] == [0]
-    assert len({(r.k, r.part) for r in lists}) == len(lists)
+    lists = nest(df, ["k"], F.struct("a", "b"), "items").collect()
+    got = {r.k: [tuple(i) for i in r["items"]] for r in lists}
+    assert len(lists) == 3
+    assert got == {k: sorted((a, b) for key, a, b in rows if key == k) for k in ("hot", "copies", "small")}
 
 
-def test_denormalise_parts(spark):
-    """A checkup with long lists comes in parts that together hold each item once."""
+def test_denormalise_keeps_one_row_per_checkup(spark):
+    """However long its lists, a checkup is one row; checkups without a key stay, and no job runs while the plan is built."""
 
     def frame(rows, schema):
         return spark.createDataFrame(rows, schema)
@@ -164,11 +157,15 @@ def test_denormalise_parts(spark):
     }
     import json
 
-    flat = denormalise(tables, max_items=10).collect()
-    assert {r.checkup_id for r in flat} == {1, 2}
-    assert sorted(r.checkup_id for r in flat if r.part == 0) == [1, 2]
-    assert len(flat) < 20
-    assert len({(r.checkup_id, r.part) for r in flat}) == len(flat)
+    tables["checkups"] = tables["checkups"].union(frame([(None, 1, None, None, False, "w")] * 2, tables["checkups"].schema))
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    plan = denormalise(tables)
+    assert len(jobs.getJobIdsForGroup(None)) == before
+    flat = plan.collect()
+    assert sorted((r.checkup_id or 0) for r in flat) == [0, 0, 1, 2]
+    assert {r.department_name for r in flat if r.checkup_id is None} == {"Cardiology"}
+    flat = [r for r in flat if r.checkup_id]
     drugs = [m["dosage"] for r in flat if r.prescription for m in json.loads(r.prescription)]
     tests = [x["name"] for r in flat if r.test_recommendations for x in json.loads(r.test_recommendations)]
     assert sorted(drugs) == sorted(f"{i} mg" for i in range(40))

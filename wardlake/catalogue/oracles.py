@@ -188,6 +188,12 @@ _DAYS = """days AS (
   FROM grants WHERE long_start <= long_end)"""
 
 
+_REFUSED = """refused AS (
+  SELECT * FROM (SELECT grant_id, requestor_id, CASE WHEN long_start IS NULL THEN 'open start date'
+    WHEN long_end IS NULL THEN 'open end date' WHEN long_end < long_start THEN 'end date before start date' END AS reason
+    FROM grants) WHERE reason IS NOT NULL)"""
+
+
 def _patterns(key: str) -> str:
     return f"""marked AS (
   SELECT {key}, day, year(day) AS y, month(day) AS m,
@@ -226,7 +232,7 @@ ORACLES: dict[str, str] = {
 SELECT o_orderkey AS checkup_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_on FROM orders
 WHERE o_orderdate > TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-03-01'""",
     "denormalize_checkups": f"""WITH {CLINIC}
-SELECT checkup_id, CAST(0 AS BIGINT) AS part, department_name, patient_gender, patient_allergies, blood_pressure, dob,
+SELECT checkup_id, department_name, patient_gender, patient_allergies, blood_pressure, dob,
   CAST(created_on AS VARCHAR) AS created_on, prescription, test_recommendations FROM clinic""",
     "normalize_department": """
 SELECT o_orderkey AS checkup_id, CASE WHEN o_orderkey % 6 < 3 THEN 'unassigned' ELSE o_orderpriority END AS department_name,
@@ -293,7 +299,7 @@ SELECT CASE WHEN status = 'VALID' THEN 'checkups' ELSE 'checkups_errors' END AS
 SELECT checkup_id, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date, namespace, patient_id FROM federated""",
     "federated_topk": f"""WITH {CHECKUPS}, {GRANTS}, {_BRANCHES}
 SELECT checkup_id, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date FROM federated
-ORDER BY checkup_date DESC, checkup_id DESC LIMIT 1000""",
+ORDER BY checkup_date DESC, checkup_id DESC LIMIT 10001""",
     "grant_checks": f"""WITH {SITES}, {GRANTS},
 asked AS (
   SELECT *, {_CHECK_START} AS s, {_CHECK_END} AS e, CASE k % 4 WHEN 0 THEN departments WHEN 1 THEN [lower(departments[1])]
@@ -310,12 +316,18 @@ SELECT grant_id, CASE WHEN len(refused) > 0 THEN 'department not approved: ' ||
     WHEN ed < sd THEN 'end date before start date' END AS range_reason,
   CAST(coalesce(sd, date_start) AS VARCHAR) AS effective_start, CAST(coalesce(ed, date_end) AS VARCHAR) AS effective_end
 FROM parsed""",
-    "scope_days": f"""WITH {SITES}, {GRANTS}, {_DAYS} SELECT grant_id, CAST(day AS VARCHAR) AS day FROM days""",
-    "scope_patterns": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('grant_id')} SELECT * FROM patterns""",
-    "scope_day_patterns": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('requestor_id')} SELECT * FROM patterns""",
-    "scope_policy": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('grant_id')}, {_POLICY}
+    "scope_days": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_REFUSED}
+SELECT grant_id, CAST(day AS VARCHAR) AS day, NULL AS reason FROM days
+UNION ALL SELECT grant_id, NULL, reason FROM refused""",
+    "scope_patterns": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('grant_id')}, {_REFUSED}
+SELECT grant_id, pattern, NULL AS reason FROM patterns UNION ALL SELECT grant_id, NULL, reason FROM refused""",
+    "scope_day_patterns": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('requestor_id')}, {_REFUSED}
+SELECT requestor_id, pattern, NULL AS grant_id, NULL AS reason FROM patterns
+UNION ALL SELECT requestor_id, NULL, grant_id, reason FROM refused""",
+    "scope_policy": f"""WITH {SITES}, {GRANTS}, {_DAYS}, {_patterns('grant_id')}, {_POLICY}, {_REFUSED}
 SELECT grant_id, CAST(octet_length(encode(policy)) AS BIGINT) AS bytes, sha256(policy) AS policy_hash,
-  CASE WHEN octet_length(encode(policy)) > 2048 THEN 'policy_too_large' ELSE 'ok' END AS verdict FROM policies""",
+  CASE WHEN octet_length(encode(policy)) > 2048 THEN 'policy_too_large' ELSE 'ok' END AS verdict FROM policies
+UNION ALL SELECT grant_id, NULL, NULL, reason FROM refused""",
     "scope_enforce": f"""WITH {CHECKUPS}, {GRANTS}
 SELECT checkup_id, namespace, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date FROM checkups c
 WHERE EXISTS (SELECT 1 FROM usable u WHERE u.namespace = c.namespace AND list_contains(u.departments, c.department_name)
@@ -359,7 +371,7 @@ SELECT request_id, count(*) FILTER (status = 'APPROVED') AS approved, count(*) F
       || responded_on || '","line":' || line || ',"part_id":' || part_id || '}}', ','
       ORDER BY hospital_id, status, responded_on, line, part_id) || ']' AS responses
   FROM responses GROUP BY request_id)
-SELECT o_orderkey AS request_id, CAST(0 AS BIGINT) AS part, coalesce(n, 0) AS n, responses
+SELECT o_orderkey AS request_id, coalesce(n, 0) AS n, responses
 FROM orders LEFT JOIN lists ON o_orderkey = request_id""",
     "hospital_status_counts": f"""WITH {HOSPITALS}
 SELECT count(*) AS total, count(*) FILTER (status = 'ACTIVE') AS active,
@@ -408,7 +420,7 @@ SELECT hospital_id, name, status FROM hospitals WHERE contains(lower(name), 'act
     "list_page": f"""WITH {REQUESTS}
 SELECT request_id, status, CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_on,
   (SELECT count(*) FROM requests WHERE status = 'FORWARDED') AS total
-FROM requests WHERE status = 'FORWARDED' ORDER BY created_at DESC, request_id DESC LIMIT 100 OFFSET 40""",
+FROM requests WHERE status = 'FORWARDED' ORDER BY created_at DESC, request_id DESC LIMIT 200 OFFSET 40""",
     "recent_requests": f"""WITH {REQUESTS}
 SELECT request_id, status FROM requests ORDER BY created_at DESC, request_id DESC LIMIT 5""",
     "audit_page": f"""

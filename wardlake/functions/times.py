@@ -19,11 +19,11 @@ DATE_SHAPE = r"^\d{4}-\d{2}-\d{2}$"
 
 
 def iso_timestamp(c: Column) -> Column:
-    """ISO 8601 in UTC, with microseconds only when there are any."""
-    ts = c.cast("timestamp")
+    """ISO 8601 in UTC, with microseconds only when there are any; a text that is no time stays as it is."""
+    ts = c.try_cast("timestamp")
     whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
     micros = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
-    return F.when(ts == F.date_trunc("second", ts), whole).otherwise(micros)
+    return F.when(ts.isNull(), c.cast("string")).when(ts == F.date_trunc("second", ts), whole).otherwise(micros)
 
 
 def birth_date(c: Column, data_type: str = "timestamp") -> Column:

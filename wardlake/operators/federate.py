@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from wardlake.functions.idents import check_name, usable_credential
 from wardlake.operators.scope import check_dates, check_departments, effective_dates
 
-# The row limit used when none, or one out of bounds, is asked for.
-DEFAULT_LIMIT, MAX_LIMIT = 1000, 10_000
 PREVIEW_ROWS = 100
+# Rows a result brings to the driver unless told otherwise.
+RESULT_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ class Request:
     selections: tuple[Selection, ...]
     table: str = "checkups"
     columns: tuple[str, ...] = ()
-    limit: int = 0
+    limit: int | None = None
 
 
 @dataclass(frozen=True)
@@ -56,10 +56,14 @@ class Result:
     columns: list[str]
     rows: list[list]
     row_count: int = field(default=0)
+    cut: bool = False
 
 
-def clamp_limit(limit: int) -> int:
-    return limit if 0 < limit <= MAX_LIMIT else DEFAULT_LIMIT
+def checked_limit(limit: int | None) -> int | None:
+    """The limit asked for, none for all rows; one that is no number of rows is refused."""
+    if limit is not None and limit < 1:
+        raise ValueError(f"limit must be positive, not {limit}")
+    return limit
 
 
 def grant_reason(status: Column, key: Column, expiration: Column, now: Column, found: Column) -> Column:
@@ -106,7 +110,9 @@ def check_request(request: Request, grants: DataFrame, requests: DataFrame, now:
         "position int, requestor_id string, grant_id string, asked_departments array<string>,"
         " asked_start string, asked_end string",
     )
-    resolved = resolve(asked, grants, requests, now)
+    # The selected ids reach the scan of the grants; only their requests are looked up.
+    selected = grants.filter(F.col("grant_id").isin(*{s.grant_id for s in request.selections}))
+    resolved = resolve(asked, selected, requests, now)
     limits = (F.col("date_start"), F.col("date_end"))
     wanted = (F.col("asked_start"), F.col("asked_end"))
     start, end = effective_dates(*wanted, *limits)
@@ -147,7 +153,7 @@ def federate(
     branches: list[Branch],
     tables: Mapping[str, DataFrame],
     columns: tuple[str, ...] = (),
-    limit: int | None = 0,
+    limit: int | None = None,
     order_by: list[Column] | None = None,
 ) -> DataFrame:
     """UNION ALL of the branches, limited. Rows under two grants appear twice.
@@ -159,7 +165,8 @@ def federate(
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     if order_by:
         union = union.orderBy(*order_by)
-    return union if limit is None else union.limit(clamp_limit(limit))
+    limit = checked_limit(limit)
+    return union if limit is None else union.limit(limit)
 
 
 def run(request: Request, grants: DataFrame, requests: DataFrame, tables: Mapping, now: Column) -> DataFrame:
@@ -185,13 +192,16 @@ def _value(held):
         return held.decode(errors="replace")
 
 
-def to_result(df: DataFrame) -> Result:
-    """Columns and rows of a limited result; times as RFC 3339, binary as JSON or text."""
+def to_result(df: DataFrame, most: int = RESULT_ROWS) -> Result:
+    """Columns and rows of a result; times as RFC 3339, binary as JSON or text.
+
+    At most ``most`` rows come to the driver; ``cut`` says whether there are more.
+    """
 
     def shown(name: str, kind: str) -> Column:
         c = F.col(f"`{name}`")
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ssXXX").alias(name) if kind.startswith("timestamp") else c
 
-    kept = df.limit(MAX_LIMIT).select(*[shown(n, t) for n, t in df.dtypes])
+    kept = df.limit(most + 1).select(*[shown(n, t) for n, t in df.dtypes])
     rows = [[_value(v) for v in r] for r in kept.collect()]
-    return Result(df.columns, rows, len(rows))
+    return Result(df.columns, rows[:most], min(len(rows), most), len(rows) > most)

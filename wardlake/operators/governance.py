@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions.idents import usable_credential
-from wardlake.operators.nest import MAX_ITEMS, nest
+from wardlake.operators.nest import nest
 
 # The states a response, a request and a site can be in.
 PENDING, APPROVED, REJECTED = "PENDING", "APPROVED", "REJECTED"
@@ -45,12 +45,9 @@ def request_status(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return joined.withColumn("rolled_status", rolled)
 
 
-def responses_per_request(
-    requests: DataFrame, responses: DataFrame, item: Column, max_items: int = MAX_ITEMS
-) -> DataFrame:
-    """Each request with the list of its responses (see `nest` for very long lists)."""
-    lists = nest(responses, ["request_id"], item, "responses", max_items)
-    return requests.join(lists, "request_id", "left").fillna(0, ["part"])
+def responses_per_request(requests: DataFrame, responses: DataFrame, item: Column) -> DataFrame:
+    """Each request, once, with the list of its responses."""
+    return requests.join(nest(responses, ["request_id"], item, "responses"), "request_id", "left")
 
 
 def site_counts(sites: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Page sizes.
-PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
+PAGE_SIZE = 20
 JOB_PAGE_SIZE = 10
 MESSAGE_PAGE_SIZE = 50
 RECENT = 5
@@ -32,9 +32,11 @@ def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
 
 
 def page(df: DataFrame, newest_first: list[Column], limit: int = PAGE_SIZE, offset: int = 0) -> DataFrame:
-    """One page plus the ``total`` number of rows it is a page of."""
+    """One page of the size asked for, plus the ``total`` number of rows it is a page of."""
+    if limit < 1 or offset < 0:
+        raise ValueError(f"no page has limit {limit} and offset {offset}")
     total = df.agg(F.count("*").alias("n"))
-    rows = df.orderBy(*newest_first).offset(offset).limit(min(limit, MAX_PAGE_SIZE))
+    rows = df.orderBy(*newest_first).offset(offset).limit(limit)
     return rows.withColumn("total", total.scalar())
 
 

@@ -22,7 +22,10 @@ POLICY_VERSION = "2012-10-17"
 POLICY_LIMIT_BYTES = 2048
 TOO_LARGE = "policy_too_large"
 LIST_ACTION, GET_ACTION = "s3:ListBucket", "s3:GetObject"
+LIST_METADATA, GET_METADATA, GET_PARTITIONS = "AllowListMetadata", "AllowGetMetadata", "AllowSpecificPartitions"
 RESOURCE_PREFIX = "arn:aws:s3:::"
+# Bucket, namespace, table, department and day pattern of a partition.
+PARTITION_RESOURCE = "arn:aws:s3:::%s/iceberg/%s/%s/data/department_name=%s/checkup_date=%s/*"
 
 
 # --- date ranges -----------------------------------------------------------
@@ -37,20 +40,35 @@ def range_error(start: Column, end: Column) -> Column:
     )
 
 
+def range_problem(start: Column, end: Column) -> Column:
+    """Why two dates give no list of days (NULL when they do)."""
+    return (
+        F.when(start.isNull(), F.lit("open start date"))
+        .when(end.isNull(), F.lit("open end date"))
+        .when(end < start, F.lit("end date before start date"))
+    )
+
+
 def days_between(start: Column, end: Column) -> Column:
     return F.when(start <= end, F.sequence(start, end))
 
 
 def expand_days(grants: DataFrame, start: str = "date_start", end: str = "date_end") -> DataFrame:
-    """One row per granted day, both ends included."""
-    return grants.withColumn("day", F.explode(days_between(F.col(start), F.col(end))))
+    """One row per granted day, both ends included.
+
+    A grant that is open or reversed is one row without a day and with the
+    ``reason`` instead; fill an open end first where a last day is known.
+    """
+    with_reason = grants.withColumn("reason", range_problem(F.col(start), F.col(end)))
+    return with_reason.withColumn("day", F.explode_outer(days_between(F.col(start), F.col(end))))
 
 
 def range_patterns(start: Column, end: Column) -> Column:
     """Array of ``yyyy-*``, ``yyyy-MM-*`` and day patterns that cover exactly the range.
 
     A pure expression: a grant is collapsed where it is, without a shuffle and
-    without listing the days of its complete months and years.
+    without listing the days of its complete months and years. NULL where
+    `range_problem` has a reason.
     """
 
     def of_month(first: Column) -> Column:
@@ -78,9 +96,9 @@ def collapse_days(days: DataFrame, keys: list[str], day: str = "day") -> DataFra
     """The same patterns from any set of days (rows may repeat): ``keys, pattern``.
 
     Days are gathered per key and year, so a group holds 366 values at most and
-    repeats are dropped before the shuffle.
+    repeats are dropped before the shuffle. Rows without a day have no pattern.
     """
-    by_year = days.groupBy(*keys, F.year(day).alias("_year")).agg(
+    by_year = days.where(F.col(day).isNotNull()).groupBy(*keys, F.year(day).alias("_year")).agg(
         F.sort_array(F.collect_set(F.col(day))).alias("_days")
     )
 
@@ -109,11 +127,10 @@ def partition_resources(
 
     def of_table(table: str) -> Column:
         def of_department(department: Column) -> Column:
-            folder = F.concat(
-                *(F.lit(RESOURCE_PREFIX), bucket, F.lit("/iceberg/"), namespace, F.lit(f"/{table}/data/department_name=")),
-                *(department, F.lit("/checkup_date=")),
+            return F.transform(
+                patterns,
+                lambda pattern: F.format_string(PARTITION_RESOURCE, bucket, namespace, F.lit(table), department, pattern),
             )
-            return F.transform(patterns, lambda pattern: F.concat(folder, pattern, F.lit("/*")))
 
         return F.flatten(F.transform(departments, of_department))
 
@@ -133,20 +150,20 @@ def policy_json(
     prefixes = F.array(*[below(t, what) for t in tables for what in ("metadata", "data")])
     metadata = F.array(*[F.concat(F.lit(RESOURCE_PREFIX), bucket, F.lit("/"), below(t, "metadata")) for t in tables])
     listing = F.struct(
-        F.lit("AllowListMetadata").alias("Sid"),
+        F.lit(LIST_METADATA).alias("Sid"),
         allow,
         F.lit(LIST_ACTION).alias("Action"),
         F.concat(F.lit(RESOURCE_PREFIX), bucket).alias("Resource"),
         F.struct(F.struct(prefixes.alias("s3:prefix")).alias("StringLike")).alias("Condition"),
     )
     reading = F.struct(
-        F.lit("AllowGetMetadata").alias("Sid"),
+        F.lit(GET_METADATA).alias("Sid"),
         allow,
         F.lit(GET_ACTION).alias("Action"),
         (metadata[0] if len(tables) == 1 else metadata).alias("Resource"),
     )
     partitions = F.struct(
-        F.lit("AllowSpecificPartitions").alias("Sid"),
+        F.lit(GET_PARTITIONS).alias("Sid"),
         allow,
         F.lit(GET_ACTION).alias("Action"),
         partition_resources(bucket, namespace, tables, departments, patterns).alias("Resource"),
