@@ -255,7 +255,7 @@ def _count(path: str):
         own = prefixes(path)
         for batch in batches:
             buf, off = vec.utf8(batch.column(0).field("text"))
-            for low, high, b, o in vec.pieces(buf, off, 4 << 20):
+            for low, high, b, o in vec.pieces(buf, off, 2 << 20):
                 raw = b.tobytes()
                 texts = [raw[x:y].decode("utf-8") for x, y in zip(o.tolist(), o[1:].tolist(), strict=False)]
                 steps = own.table(texts)

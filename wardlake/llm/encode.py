@@ -68,7 +68,7 @@ def _counter(path: str):
 
         for batch in batches:
             buf, off = vec.utf8(batch.column(0))
-            for _, _, b, o in vec.pieces(buf, off, 4 << 20):
+            for _, _, b, o in vec.pieces(buf, off, 2 << 20):
                 start, end, _, kind = units(b, o, special)
                 fits = (kind < 0) & (end - start <= LONGEST)
                 start, end = start[fits], end[fits]
@@ -185,7 +185,7 @@ def _encode(path: str, name: str):
         own = encoder(path, name)
         for batch in batches:
             buf, off = vec.utf8(batch.column(0).field("text"))
-            for low, high, b, o in vec.pieces(buf, off, 4 << 20):
+            for low, high, b, o in vec.pieces(buf, off, 2 << 20):
                 ids, ends = own.encode(b, o)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], ["row", "ids"])

@@ -46,13 +46,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all rows and the offsets of each; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("") if column.null_count else column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
+    column = column.fill_null(b"") if column.null_count else column
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def pieces(buf: np.ndarray, off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(buf: np.ndarray, off: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most ``most`` bytes (or one row): first row, end row, bytes, offsets from 0."""
     low, n = 0, len(off) - 1
     while low < n:
