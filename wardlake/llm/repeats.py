@@ -38,7 +38,7 @@ GRAM = 100
 SPREAD = LENGTH - GRAM  # largest distance from a window's start to its anchor
 BITS = 24  # of a position inside a segment
 SEGMENT = 4 << 20  # bytes of one document taken at once
-RUN = 150_000  # suffixes sorted in memory
+RUN = 50_000  # suffixes sorted in memory
 SAMPLE = 256  # every so many suffixes of a run offer a splitter
 KEY = "doc_id long, text_hash long"
 
@@ -453,15 +453,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(documents: DataFrame) -> DataFrame:
-    """``row, kept, spans``: each row of ``documents`` with what is left of its text and what went.
-
-    ``row`` is the whole input row as a struct, ``kept`` the remaining bytes and
-    ``spans`` the maximal removed byte ranges, ascending. A null text is empty; a
-    text of under 200 bytes loses nothing. Rows with equal id and text are
-    occurrences of their own, so each removes the other; a null id is an id.
-    Other columns, whatever their names, come back inside ``row``.
-    """
+def _joined(documents: DataFrame) -> DataFrame:
+    """``row, spans``: each row and the packed ranges that go."""
     spark = documents.sparkSession
     scratch, parts = Scratch(spark), partitions(spark)
     text = F.coalesce("text", F.lit(""))
@@ -494,11 +487,41 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     )
     gone = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("spans"))
     rows = documents.select(*key, F.struct("*").alias("row"))
-    joined = rows.alias("d").join(gone.alias("a"), F.expr(same), "left").select("d.row", "a.spans")
-    schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, spans array<struct<start:bigint,end:bigint>>"
+    return rows.alias("d").join(gone.alias("a"), F.expr(same), "left").select("d.row", "a.spans")
+
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """``row, kept, spans``: each row of ``documents`` with what is left of its text and what went.
+
+    ``row`` is the whole input row as a struct, ``kept`` the remaining bytes and
+    ``spans`` the maximal removed byte ranges, ascending. A null text is empty; a
+    text of under 200 bytes loses nothing. Rows with equal id and text are
+    occurrences of their own, so each removes the other; a null id is an id.
+    Other columns, whatever their names, come back inside ``row``.
+    """
+    joined = _joined(documents)
+    schema = f"row {joined.schema['row'].dataType.simpleString()}, kept binary, spans array<struct<start:bigint,end:bigint>>"
     return joined.mapInArrow(_apply, schema)
 
 
+def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _apply(batches):
+        row = batch.column(0)
+        there = row.field("text").is_valid().to_pylist()
+        # A character that lost a part of its bytes goes as a whole.
+        texts = [k.decode("utf-8", "ignore") if t else None for k, t in zip(batch.column(1).to_pylist(), there, strict=True)]
+        new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([None if t is None else len(t) for t in texts], pa.int64())}
+        fields = [f.name for f in row.type]
+        columns = [new[n].cast(row.type.field(n).type) if n in new else row.field(n) for n in fields]
+        yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields)], ["row"])
+
+
+def without_repeats(documents: DataFrame) -> DataFrame:
+    """``documents`` with the repeated parts cut out of ``text`` (and ``n_chars``, if there, counted anew)."""
+    joined = _joined(documents)
+    return joined.mapInArrow(_rewrite, f"row {joined.schema['row'].dataType.simpleString()}").select("row.*")
+
+
 def _as_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         starts = [np.array(x, np.int64) for x in batch.column(2).to_pylist()]
