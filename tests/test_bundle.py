@@ -208,7 +208,11 @@ OBSERVATION = {"resourceType": "Observation", "status": "final", "code": {"text"
         (bundle(OBSERVATION | {"valueString": ""}), "empty string"),
         (bundle(OBSERVATION | {"valueString": 'says ": ""'}), None),
         (bundle({"resourceType": "Condition", "subject": {}}), "Condition.clinicalStatus: field required"),
-        (bundle({"resourceType": "MedicationStatement"}), "unknown resourceType: MedicationStatement"),
+        (bundle({"resourceType": "MedicationStatement"}), None),
+        (bundle({"resourceType": "Potion"}), "unknown resourceType: Potion"),
+        (bundle({"resourceType": "Patient", "birthDate": "rubbish 19"}), "Patient.birthDate: not a valid value"),
+        (bundle({"resourceType": "Patient", "birthDate": "1990-05", "gender": "female"}), None),
+        (bundle({"resourceType": "Patient", "gender": "F"}), "Patient.gender: not a valid value"),
         (bundle({}), "unknown resourceType: none"),
         (
             bundle({"resourceType": "DocumentReference", "status": "current", "content": [{"title": "x"}]}),
