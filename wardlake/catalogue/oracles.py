@@ -473,4 +473,26 @@ SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name
 FROM information_schema.columns JOIN counts USING (table_name)""",
     "nested_medications": """
 SELECT l_orderkey, count(*) AS items, CAST(sum(l_partkey) AS BIGINT) AS part_sum FROM lineitem GROUP BY l_orderkey""",
+    "stage_windows": """
+SELECT 'filled' AS window, true AS written, count(*) AS records, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM orders
+WHERE o_orderdate > TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-03-01'
+UNION ALL SELECT 'empty', false, 0, NULL""",
+    "sql_views": """
+SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT c_custkey) AS customers
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+    "browse_tables": """
+SELECT table_name, count(*) AS columns, CAST(1 AS BIGINT) AS schemas FROM information_schema.columns
+WHERE table_name IN ('orders', 'customer', 'nation') GROUP BY table_name""",
+    "audit_export": """
+SELECT event_type AS action, count(*) AS entries, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (
+  SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) GROUP BY event_type""",
+    "preview_rows": f"""WITH {CHECKUPS}
+SELECT checkup_id, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date FROM checkups
+ORDER BY checkup_date DESC, checkup_id DESC LIMIT 100""",
+    "result_rows": """
+SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS ordered_at, CAST(50 AS BIGINT) AS row_count,
+  true AS cut FROM orders ORDER BY o_orderkey LIMIT 50""",
+    "unreadable_times": f"""WITH {CLINIC}
+SELECT CASE WHEN checkup_id % 5 = 0 THEN 'checkups_errors' ELSE 'checkups' END AS table_name, count(*) AS records,
+  CAST(sum(checkup_id) AS BIGINT) AS id_sum FROM clinic GROUP BY 1""",
 }

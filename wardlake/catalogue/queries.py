@@ -717,3 +717,86 @@ def nested_medications(t):
         long(F.sum(F.expr("aggregate(items, 0L, (a, i) -> a + i.l_partkey)"))).alias("part_sum"),
     )
     return sizes
+
+
+# --- staging, browsing, results ----------------------------------------------
+
+
+@query
+def stage_windows(t):
+    """Two windows of the source staged as files; the one without rows writes none."""
+    held = []
+    for name, start, end in (("filled", "1996-03-01", "1998-03-01"), ("empty", "1900-01-01", "1900-02-01")):
+        rows = extract.in_window(t.orders, start, end, "o_orderdate")
+        path = extract.stage(rows, scratch_path(t.spark, "stage"))
+        staged = rows.limit(0) if path is None else t.spark.read.parquet(path)
+        held.append(
+            staged.agg(F.count("*").alias("records"), F.sum("o_orderkey").alias("id_sum")).select(
+                F.lit(name).alias("window"), F.lit(path is not None).alias("written"), "records", "id_sum"
+            )
+        )
+    return reduce(DataFrame.unionByName, held)
+
+
+@query
+def sql_views(t):
+    """An ad-hoc query over tables registered by name."""
+    browse.register({"orders": t.orders, "customer": t.customer})
+    return t.spark.sql(
+        "SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT c_custkey) AS customers "
+        "FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment"
+    )
+
+
+@query
+def browse_tables(t):
+    """Registered tables with their columns."""
+    names = ("orders", "customer", "nation")
+    browse.register({n: getattr(t, n) for n in names})
+    listed = browse.list_tables(t.spark).where(F.col("table_name").isin(*names)).select("table_name").distinct()
+    columns = browse.list_columns({n: t.spark.table(n) for n in names})
+    counted = columns.groupBy("table_name").agg(F.count("*").alias("columns"))
+    in_default = browse.list_schemas(t.spark).where("schema_name = 'default'").agg(F.count("*").alias("n"))
+    return listed.join(counted, "table_name").withColumn("schemas", in_default.scalar())
+
+
+@query
+def audit_export(t):
+    """The newest entries of an audit log as JSON lines, read back."""
+    path = scratch_path(t.spark, "audit")
+    log = t.events.select(F.col("event_id").alias("id"), F.col("event_type").alias("action"), "ts")
+    browse.export_json(log, path, [F.col("ts").desc(), F.col("id").desc()], 500)
+    lines = t.spark.read.schema("id long, action string").json(path)
+    return lines.groupBy("action").agg(F.count("*").alias("entries"), F.sum("id").alias("id_sum"))
+
+
+@query
+def preview_rows(t):
+    newest = S.checkups(t).orderBy(F.col("checkup_date").desc(), F.col("checkup_id").desc())
+    return federate.preview(newest).select("checkup_id", "department_name", F.col("checkup_date").cast("string"))
+
+
+@query
+def result_rows(t):
+    """A result as the caller gets it: bounded rows, and whether there were more."""
+    rows = t.orders.orderBy("o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderdate")
+    result = federate.to_result(rows, 50)
+    out = t.spark.createDataFrame([tuple(r) for r in result.rows], "o_orderkey long, o_orderstatus string, ordered_at string")
+    return out.withColumns({"row_count": F.lit(result.row_count).cast("long"), "cut": F.lit(result.cut)})
+
+
+@query
+def unreadable_times(t):
+    """A whole run over checkups whose creation times are texts, a part of them unreadable."""
+    root = scratch_path(t.spark, "texts")
+    k = F.col("checkup_id")
+    created = F.when(k % 5 == 0, F.concat(F.lit("day "), k.cast("string"))).otherwise(
+        F.date_format(F.date_trunc("year", F.col("checkup_created_at")), "yyyy-MM-dd HH:mm:ss")
+    )
+    batch.run_batch(denormalise(S.clinic(t)).withColumn("checkup_created_at", created), root, "b1", "", "", S.now())
+    published = [
+        publish.read_table(t.spark, f"{root}/{name}").select("checkup_id", F.lit(name).alias("table_name"))
+        for name in (publish.TABLE, publish.ERROR_TABLE)
+    ]
+    both = published[0].unionByName(published[1])
+    return both.groupBy("table_name").agg(F.count("*").alias("records"), F.sum("checkup_id").alias("id_sum"))

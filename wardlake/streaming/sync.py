@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardlake.operators.latest import latest
 from wardlake.session import path_exists
 from wardlake.streaming.ingest import run_available
 
@@ -29,9 +30,11 @@ def stream_sync(stream: DataFrame, store: str, checkpoint: str) -> None:
 
     def keep_new(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        polled = batch.dropDuplicates(["request_id"])
-        if path_exists(spark, f"{store}/_SUCCESS"):
-            polled = polled.join(spark.read.parquet(store).select("request_id"), "request_id", "left_anti")
-        as_stored(polled).write.mode("append").parquet(store)
+        rows = as_stored(batch)
+        polled = latest(rows, ["request_id"], [F.col(PAYLOAD)])  # of several versions always the same one
+        if path_exists(spark, store):
+            stored = spark.read.schema(rows.schema).parquet(store)
+            polled = polled.join(stored.select("request_id"), "request_id", "left_anti")
+        polled.write.mode("append").parquet(store)
 
     run_available(stream, checkpoint, keep_new)
