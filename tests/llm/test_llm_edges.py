@@ -189,6 +189,31 @@ def test_near_duplicates_in_a_chain(spark):
     assert {r.component_id for r in rows} == {0}
 
 
+def test_near_duplicates_in_a_large_family(spark):
+    """Buckets beyond the small ones: copies near the hub, copies far from it, and pairs far from it but near each other."""
+    from test_llm_contracts import components
+
+    pick = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(pick.choice([1, 2, 4, 6, 8])):
+            words[pick.randrange(150)] = f"e{i}x{pick.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    for i in range(90, 102, 2):  # twins that share what sets them apart
+        words = list(base)
+        for j in pick.sample(range(150), 9):
+            words[j] = f"t{i}x{j}"
+        rows.append((i, " ".join(words)))
+        words[pick.randrange(150)] = f"own{i}"
+        rows.append((i + 1, " ".join(words)))
+    pick.shuffle(rows)
+    wanted = components(dict(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neighbours.near_duplicates(table(spark, rows)).collect()}
+    assert got == wanted and len({c for _, c in wanted.values()}) > 5
+
+
 def test_shards(docs, nothing):
     rows = shard.shards(docs, 3).collect()
     assert len(rows) == len(ROWS) and {r.shard for r in rows} <= {0, 1, 2}
