@@ -8,10 +8,16 @@ shingles of two linked sets share ``l`` at least. Each document chooses its own
 pair is verified when it shares the smaller ``l`` of the two. Any order and any
 estimates give the same result.
 
-Equal sets are one node. Two rounds find the links that connect everything:
-every member of a prefix shingle's bucket against the bucket's first, which is
-linear and joins a group of near copies at once; then all pairs that are still
-in different components. Pairs already connected need no check.
+Equal sets are one node. Two rounds find the links that connect everything.
+First every member of a prefix shingle's bucket is compared with the bucket's
+hub, the member with most shared prefix shingles; that is linear, and joins a
+group of near copies at once. Then come pairs that are still in different
+components, as pairs already connected need no check: in a small bucket all of
+them, counted over shingles. In a larger one both have known overlaps with its
+hub ``h``, and ``|x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|``. So a
+linked pair has enough in common with the hub on both sides, or shares some of
+the rarest shingles it has outside the hub; only such pairs are verified, and
+copies that differ from the hub each in their own way are never paired.
 
 The order comes from a sketch of shingle frequencies over all documents, of
 fixed size. Shingles it calls frequent go through Spark rows whose joins split
@@ -34,11 +40,12 @@ from wardlake.llm.components import components
 from wardlake.llm.scratch import Scratch, partitions
 
 WIDTH, PERCENT = 5, 80
-SLOTS = 1 << 20  # counters of the sketch: 4 MB whatever the input
+SLOTS = 1 << 21  # counters of the sketch: 16 MB whatever the input
 BLOCKS = 16
 MOST_MATCHES = 8  # largest l
 HOT = 4096  # estimated documents of a shingle from which it is not packed
 FLUSH = 4 << 20  # prefix entries packed at once
+SMALL = 32  # members of a bucket that are paired without their hub
 
 
 def overlap(n: int) -> int:
@@ -77,14 +84,13 @@ def sketch(documents: DataFrame) -> np.ndarray:
 # ------------------------------------------------------------------- prefixes
 
 
-def choose(found: np.ndarray, counts: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, int]:
+def choose(found: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix of an ascending set, rare shingles first, their estimates, and the matches it asks for."""
     estimate = counts[found & np.uint64(SLOTS - 1)]
-    rank = np.where(estimate <= noise, 0, estimate)
     n, need = len(found), overlap(len(found))
     longest = min(MOST_MATCHES, need)
-    order = np.argsort(rank, kind="stable")[: n - need + longest]
-    others = np.maximum(rank[order] - noise, 0)
+    order = np.argsort(estimate, kind="stable")[: n - need + longest]
+    others = np.maximum(estimate[order] - usual, 0)
     scanned, matches = np.cumsum(others), np.arange(1, longest + 1)
     ends = n - need + matches - 1
     cost = scanned[ends] + matches + n / 8 * scanned[ends] / matches
@@ -122,14 +128,14 @@ def _unpack(blob: bytes):
 
 
 NODE = pa.schema(
-    [("doc_id", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("token", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]
+    [("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("token", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]
 )
 
 
 def _signer(counts, parts: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counts.value
-        noise = table.mean() + 6 * table.mean() ** 0.5 + 1
+        usual = table.mean()
         tokens, nodes, names, sizes, ells, seen = [], [], [], [], [], 0
 
         def flush():
@@ -142,7 +148,7 @@ def _signer(counts, parts: int):
             seen = 0
 
         for batch in batches:
-            ids, (buf, off) = batch.column(0), vec.utf8(batch.column(1))
+            ids, ties, (buf, off) = batch.column(0), batch.column(1), vec.utf8(batch.column(2))
             for low, high, b, o in vec.pieces(buf, off):
                 rows, hot = {"node": [], "n": [], "l": []}, {"node": [], "n": [], "l": [], "token": []}
                 for found in vec.shingles(b, o, WIDTH):
@@ -150,16 +156,16 @@ def _signer(counts, parts: int):
                         rows["node"].append(None), rows["n"].append(0), rows["l"].append(0)
                         continue
                     name = xxhash.xxh3_128_digest(found.tobytes())
-                    chosen, estimate, ell = choose(found, table, noise)
+                    chosen, estimate, ell = choose(found, table, usual)
                     rows["node"].append(name), rows["n"].append(len(found)), rows["l"].append(ell)
-                    many = estimate >= HOT + noise
+                    many = estimate >= HOT + usual
                     for token in chosen[many].view(np.int64).tolist():
                         hot["node"].append(name), hot["n"].append(len(found)), hot["l"].append(ell), hot["token"].append(token)
                     few = chosen[~many]
                     tokens.append(few), nodes.append(np.full(len(few), len(names), np.uint32))
                     names.append(name), sizes.append(len(found)), ells.append(ell)
                     seen += len(few)
-                yield _rows({"doc_id": ids[low:high], **rows})
+                yield _rows({"doc_id": ids[low:high], "tie": ties[low:high], **rows})
                 if hot["token"]:
                     yield _rows(hot)
                 if seen >= FLUSH:
@@ -208,27 +214,53 @@ def _shared(pieces: pa.Table) -> pa.Table:
 # --------------------------------------------------------------- verification
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PAIRS = "a binary, b binary, n_a int, n_b int, both int, outside array<long>"
+
+
+def _compare(counts):
+    """Sizes and overlap of each pair, and the rarest shingles of ``b`` outside ``a`` that a partner must share one of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        for batch in batches:
+            left, right = (vec.utf8(pa.array([zstandard.decompress(x) for x in batch.column(c).to_pylist()], pa.large_binary())) for c in (2, 3))
+            step = max(1, int((1 << 20) / max(1, (len(left[0]) + len(right[0])) / max(1, len(batch)))))
+            sizes, outside = [], []
+            for lo in range(0, len(batch), step):
+                hi = min(len(batch), lo + step)
+                sets = [vec.shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], WIDTH) for buf, off in (left, right)]
+                for x, y in zip(*sets, strict=True):
+                    rest = np.setdiff1d(y, x, assume_unique=True)
+                    both = len(y) - len(rest)
+                    need = max(1, overlap(len(y)) - both)
+                    order = np.argsort(table[rest & np.uint64(SLOTS - 1)], kind="stable")[: len(rest) - need + 1]
+                    sizes.append((len(x), len(y), both))
+                    outside.append(rest[order].view(np.int64))
+            numbers = np.array(sizes, np.int32).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(numbers[:, j]) for j in range(3)), pa.array(outside, pa.list_(pa.int64()))],
+                ["a", "b", "n_a", "n_b", "both", "outside"],
+            )
+
+    return run
+
+
+def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        left, right = vec.utf8(batch.column(2)), vec.utf8(batch.column(3))
-        step = max(1, int((1 << 20) / max(1, (len(left[0]) + len(right[0])) / max(1, len(batch)))))
-        for lo in range(0, len(batch), step):
-            hi = min(len(batch), lo + step)
-            sets = [vec.shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], WIDTH) for buf, off in (left, right)]
-            for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    keep.append(lo + i)
-        yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (``a, b``) whose sets are similar enough."""
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([zstandard.compress(x.encode(), 1) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "text"]
+        )
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:
+    """``pairs`` (``a, b``) with what `_compare` finds."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_verify, "a binary, b binary")
+    return both.mapInArrow(_compare(counts), PAIRS)
+
+
+SIMILAR = f"100 * both >= {PERCENT} * (n_a + n_b - both)"
 
 
 def _close(a: str, b: str):
@@ -238,73 +270,128 @@ def _close(a: str, b: str):
 # ----------------------------------------------------------------------- join
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id``: one row per document row.
+def _joined(documents: DataFrame) -> DataFrame:
+    """``doc_id, tie, n, node, root, component`` of each row.
 
-    ``n_shingles`` is the size of the row's set and ``component_id`` the smallest
-    ``doc_id`` reachable by links. Words are runs without ASCII white space, A-Z
-    in lower case; with fewer than five the whole sequence is one shingle. Texts
-    that are null, empty or blank have no shingle and link with nothing: their
-    component is their own id. Rows with a null id take part and get the least
-    id they reach (null if there is none); rows that repeat an id are each in
-    the component of their text. Other columns are ignored.
+    ``tie`` is a hash of its text, ``node`` its set and ``root`` the first node
+    of its component; rows with one id can be in several.
     """
     spark = documents.sparkSession
     scratch, parts = Scratch(spark), partitions(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tie = F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), tie, "text")
     counts = spark.sparkContext.broadcast(sketch(docs))
     signed = scratch.keep(
         "signed",
-        docs.mapInArrow(_signer(counts, parts), "doc_id long, node binary, n int, l int, token long, part int, blob binary"),
+        docs.mapInArrow(_signer(counts, parts), "doc_id long, tie long, node binary, n int, l int, token long, part int, blob binary"),
     )
-    rows = signed.where("token IS NULL AND blob IS NULL").select("doc_id", "node", "n")
+    rows = scratch.keep("rows", signed.where("token IS NULL AND blob IS NULL").select("doc_id", "tie", "node", "n"))
     entry = "token long, node binary, n int, l int"
     packed = signed.where("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(_shared, entry)
     hot = signed.where("token IS NOT NULL").select("token", "node", "n", "l").distinct()
     entries = scratch.keep("entries", packed.union(hot))
+    scratch.drop("signed")
 
     # One text stands for each node that shares a prefix shingle with another.
     shared = entries.select("node").distinct()
     chosen = rows.join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
     stands = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text")
-    texts = scratch.keep("texts", stands)
-
-    first = entries.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"))
-    pairs = (
-        entries.join(first, "token")
-        .where(F.col("node") != F.col("first.node"))
-        .where(_close("n", "first.n"))
-        .select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    texts = scratch.keep("texts", stands.mapInArrow(_compress, "node binary, text binary"))
+
+    degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
+    first = entries.join(degree, "node").groupBy("token").agg(
+        F.max(F.struct("degree", "node")).alias("first"), F.count("*").alias("members")
     )
-    tried = scratch.keep("tried", pairs.distinct())
-    links = scratch.keep("links-1", _links(tried, texts))
-    roots = scratch.keep("roots-1", components(links, scratch))
-
-    named = entries.join(roots, "node", "left").select("token", "node", "n", "l", F.coalesce("root", "node").alias("root"))
-    sizes = named.groupBy("token", "root").agg(F.count("*").alias("members"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("members", "root")).alias("main"), F.count("*").alias("roots"))
-    open_ = scratch.keep("open", named.join(main.where("roots > 1").select("token", F.col("main.root").alias("main")), "token"))
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    across = (
-        x.join(y, F.expr("x.token = y.token AND x.root <> y.root AND (y.root = y.main OR x.node < y.node)"))
-        .where(_close("x.n", "y.n"))
-        .select(
-            F.least("x.node", "y.node").alias("a"),
-            F.greatest("x.node", "y.node").alias("b"),
-            F.least("x.l", "y.l").alias("l"),
+    hubs = first.select("token", "members", F.col("first.node").alias("hub"))
+    hubbed = scratch.keep("hubbed", entries.join(hubs, "token"))
+    pairs = hubbed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    checked = scratch.keep("checked", _compared(pairs, texts, counts))
+    scratch.drop("entries")
+    roots = scratch.keep("roots-1", components(checked.where(SIMILAR).select("a", "b"), scratch))
+
+    named = hubbed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = named.groupBy("token", "root").agg(F.count("*").alias("held"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("held", "root")).alias("main"), F.count("*").alias("roots"))
+    several = main.where("roots > 1").select("token", F.col("main.root").alias("main"))
+    open_ = scratch.keep("open", named.join(several, "token"))
+    scratch.drop("hubbed")
+
+    def across(rows: DataFrame, key: str, others: str = "true"):
+        """Pairs of different components that share ``key``, once each."""
+        x, y = rows.where("root <> main").alias("x"), rows.alias("y")
+        once = f"x.{key} = y.{key} AND x.root <> y.root AND (y.root = y.main OR x.node < y.node) AND {others}"
+        return x.join(y, F.expr(once)).where(_close("x.n", "y.n")).select(
+            F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.l", "y.l").alias("l")
         )
+
+    few = across(open_.where(F.col("members") <= SMALL), "token").groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("l").alias("l"))
+    # Larger buckets: overlaps with the hub are known.
+    large = open_.where(F.col("members") > SMALL)
+    known = checked.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "outside")
+    held = scratch.keep("held", large.where("node = hub").select("token", "node", "n", "l", "root", "main", "hub", F.col("n").alias("both")).unionByName(
+        large.join(known.drop("outside"), ["hub", "node"]).select("token", "node", "n", "l", "root", "main", "hub", "both")
+    ))
+    # Whatever the partner's size, a pair inside the hub needs 4/5 of each in it.
+    inside = across(held.where(f"100 * both >= {PERCENT} * n"), "token", f"{100 + PERCENT} * least(x.both, y.both) >= {PERCENT} * (x.n + y.n)")
+    beside = (
+        held.groupBy("hub", "node").agg(F.first("n").alias("n"), F.first("l").alias("l"), F.first("root").alias("root"))
+        .join(known, ["hub", "node"])
+        .select("node", "n", "l", "root", F.lit(None).cast("binary").alias("main"), F.explode("outside").alias("token"), "hub")
+        .select("node", "n", "l", "root", "main", F.xxhash64("hub", "token").alias("place"))
     )
-    matched = across.groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("l").alias("l")).where("matches >= l")
-    more = scratch.keep("links-2", _links(matched.select("a", "b").join(tried, ["a", "b"], "left_anti"), texts))
-    roots = scratch.keep("roots-2", components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), scratch))
-    scratch.drop("entries", "texts", "tried", "links-1", "roots-1", "open", "links-2")
+    place = scratch.keep("place", beside)
+    again = place.groupBy("place").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("place", F.col("most").alias("main"))
+    outside = across(place.drop("main").join(again, "place"), "place")
+    candidates = few.where("matches >= l").select("a", "b").union(inside.select("a", "b")).union(outside.select("a", "b")).distinct()
+    done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _compared(candidates.join(done, ["a", "b"], "left_anti"), texts, counts).where(SIMILAR).select("a", "b")
+    more = scratch.keep("links-2", more)
+    scratch.drop("texts", "checked", "open", "held", "place")
+    if not more.isEmpty():
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+        roots = scratch.keep("roots-2", components(joined, scratch))
+    scratch.drop("links-2")
 
     ids = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = ids.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    component = rooted.join(least, "root").select("node", "component")
+    component = rooted.join(least, "root").select("node", "root", "component")
     return rows.join(component, "node", "left").select(
-        "doc_id",
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+        "doc_id", "tie", "n", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component")
     )
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id``: one row per document row.
+
+    ``n_shingles`` is the size of the row's set and ``component_id`` the smallest
+    ``doc_id`` reachable by links. Words are runs without ASCII white space, A-Z
+    in lower case; with fewer than five the whole sequence is one shingle. Texts
+    that are null, empty or blank have no shingle and link with nothing: their
+    component is their own id. Rows with a null id take part and get the least
+    id they reach (null if there is none); rows that repeat an id are each in
+    the component of their text. Other columns are ignored.
+    """
+    return _joined(documents).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """``documents`` with one row of each group of near duplicates, that of the least id; columns as they were.
+
+    Rows without a shingle are in no group and stay. Of rows that repeat the
+    least id with the same text, one stays.
+    """
+    scratch = Scratch(documents.sparkSession)
+    joined = scratch.keep("joined", _joined(documents))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")
+    first = joined.where("node IS NOT NULL").groupBy("root").agg(least)
+    kept = first.select("least.doc_id", "least.tie").union(joined.where("node IS NULL").select("doc_id", "tie").distinct())
+    kept = kept.select(F.col("doc_id").alias("of_doc"), F.col("tie").alias("of_tie"))
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = documents["doc_id"].cast("long").eqNullSafe(F.col("of_doc")) & (tie == F.col("of_tie"))
+    out = documents.join(kept, same, "left_semi")
+    again = joined.where("node IS NOT NULL").groupBy("doc_id", "tie").agg(F.count("*").alias("n")).where("n > 1")
+    if again.limit(1).count():  # else no row can repeat, and nothing has to be compared
+        empty = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\u000b\u000c\r", " ")) == ""
+        out = out.where(empty).unionByName(out.where(~empty).dropDuplicates(["doc_id", "text"]))
+    return out
