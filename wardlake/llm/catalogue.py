@@ -157,7 +157,9 @@ def op8_lm_scoring(spark, folder):
 def op3_bpe_encoding(spark, folder):
     path = tokenizer_path("byte_bpe_50k.json")
     documents = table(spark, folder, "documents").select("doc_id", "text")
-    return encode.decode(encode.encode(documents, path), path).select(
+    # The text itself is not needed beside its ids.
+    encoded = encode.encode(documents, path).select(F.struct("row.doc_id").alias("row"), "ids")
+    return encode.decode(encoded, path).select(
         "row.doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

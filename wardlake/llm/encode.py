@@ -14,17 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.llm import bpe, pretok, vec
 from wardlake.llm.lexicon import Lexicon, compile_lexicon
+from wardlake.llm.scratch import Scratch
 from wardlake.session import scratch_path
 
 WORDS = 1 << 16  # words in the lexicon
 LONGEST = 64  # bytes of a word that may enter it
-REMEMBERED = 1 << 18  # unseen words a process keeps
+REMEMBERED = 1 << 17  # unseen words a process keeps
 
 
 def units(buf: np.ndarray, off: np.ndarray, special: dict[str, int]):
@@ -68,7 +70,7 @@ def _counter(path: str):
 
         for batch in batches:
             buf, off = vec.utf8(batch.column(0))
-            for _, _, b, o in vec.pieces(buf, off, 2 << 20):
+            for _, _, b, o in vec.pieces(buf, off, 1 << 20):
                 start, end, _, kind = units(b, o, special)
                 fits = (kind < 0) & (end - start <= LONGEST)
                 start, end = start[fits], end[fits]
@@ -88,10 +90,23 @@ def _counter(path: str):
 
 
 def frequent_words(documents: DataFrame, path: str, most: int = WORDS) -> list[bytes]:
-    """The ``most`` frequent units of all texts; ties go by bytes. ``most`` bounds what reaches the driver."""
+    """The most frequent units of all texts, ``most`` at most, which is also what the driver gets.
+
+    Counts are cut where a step of a sixteenth of a power of two would take in
+    more, so no list of candidates per task is needed.
+    """
+    scratch = Scratch(documents.sparkSession)
     counted = documents.select("text").mapInArrow(_counter(path), "word binary, n long")
-    total = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [bytes(r["word"]) for r in total.select("word").collect()]
+    step = F.floor(F.log2(F.sum("n")) * 16).alias("step")
+    words = scratch.keep("words", counted.groupBy("word").agg(step))
+    taken, last = 0, None
+    for row in words.groupBy("step").agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # a row per step
+        if taken + row["n"] > most:
+            break
+        taken, last = taken + row["n"], row["step"]
+    found = [] if last is None else [bytes(r["word"]) for r in words.where(F.col("step") >= last).select("word").collect()]
+    scratch.drop("words")
+    return found
 
 
 def publish_lexicon(spark: SparkSession, words: list[bytes], path: str) -> str:
@@ -185,7 +200,7 @@ def _encode(path: str, name: str):
         own = encoder(path, name)
         for batch in batches:
             buf, off = vec.utf8(batch.column(0).field("text"))
-            for low, high, b, o in vec.pieces(buf, off, 2 << 20):
+            for low, high, b, o in vec.pieces(buf, off, 1 << 20):
                 ids, ends = own.encode(b, o)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], ["row", "ids"])
@@ -210,15 +225,16 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = bpe.Decoder(path)
         for batch in batches:
-            lists = batch.column(1).cast(pa.large_list(pa.int64())).fill_null([])
-            off = lists.offsets.to_numpy()
-            texts, low, n = [], 0, len(lists)
-            while low < n:
-                high = max(low + 1, int(np.searchsorted(off, off[low] + (1 << 20), "right")) - 1)
-                ids = lists.values[off[low] : off[high]].fill_null(-1).to_numpy()
-                texts += decoder.texts(ids, off[low : high + 1] - off[low])
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            ends, low = np.cumsum(counts), 0
+            while low < len(batch):
+                before = int(ends[low - 1]) if low else 0
+                high = max(low + 1, int(np.searchsorted(ends, before + (1 << 18), "right")))
+                own = batch.slice(low, high - low)
+                ids = own.column(1).flatten().fill_null(-1).to_numpy()
+                texts = decoder.texts(ids, np.concatenate([[0], ends[low:high] - before]))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
                 low = high
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["row", "ids", "decoded"])
 
     return run
 
