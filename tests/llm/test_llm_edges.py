@@ -214,6 +214,21 @@ def test_near_duplicates_in_a_large_family(spark):
     assert got == wanted and len({c for _, c in wanted.values()}) > 5
 
 
+def test_near_duplicates_of_texts_under_one_id(spark):
+    """Different texts of one id, or of none, that share most of a passage but are under 0.8, beside rows that stand twice."""
+    base = [f"w{i}" for i in range(89)]
+    under = [(i, " ".join(base + [f"own{k}x{j}" for j in range(15)])) for k, i in enumerate([5, 5, None, None, None])]
+    found = neighbours.near_duplicates(table(spark, under)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in found) == [(0, 100, 0)] * 3 + [(5, 100, 5)] * 2
+    assert sorted(r.text for r in neighbours.one_of_each(table(spark, under)).collect()) == sorted(t for _, t in under)
+    # A text with one word more does link, and rows that stand twice are one.
+    copies = [(7, under[0][1] + " more"), *[under[2]] * 2]
+    found = neighbours.near_duplicates(table(spark, under + copies)).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in found) == [(0, 0)] * 5 + [(5, 5)] * 2 + [(7, 5)]
+    kept = [(r.doc_id, r.text) for r in neighbours.one_of_each(table(spark, under + copies)).collect()]
+    assert sorted(kept, key=str) == sorted(under, key=str)
+
+
 def test_shards(docs, nothing):
     rows = shard.shards(docs, 3).collect()
     assert len(rows) == len(ROWS) and {r.shard for r in rows} <= {0, 1, 2}

@@ -292,11 +292,18 @@ def _joined(documents: DataFrame) -> DataFrame:
     entries = scratch.keep("entries", packed.union(hot))
     scratch.drop("signed")
 
-    # One text stands for each node that shares a prefix shingle with another.
+    # One text stands for each node that shares a prefix shingle with another. An id
+    # (null is one) does not name a text, as rows may repeat it; id and tie do.
     shared = entries.select("node").distinct()
-    chosen = rows.join(shared, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("of_doc"))
-    stands = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text")
-    texts = scratch.keep("texts", stands.mapInArrow(_compress, "node binary, text binary"))
+    counted = rows.join(shared, "node", "left_semi").groupBy("node", "doc_id", "tie").agg(F.count("*").alias("copies"))
+    first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies")).alias("first"))
+    chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies"))))
+    same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("tie") == F.col("of_tie"))
+    stands = docs.join(chosen, same).select("node", "text").mapInArrow(_compress, "node binary, text binary")
+    if not chosen.where("of_copies > 1").isEmpty():  # else no text comes twice
+        stands = stands.dropDuplicates(["node"])
+    texts = scratch.keep("texts", stands)
+    scratch.drop("chosen")
 
     degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     first = entries.join(degree, "node").groupBy("token").agg(
