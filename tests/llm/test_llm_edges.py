@@ -323,6 +323,18 @@ def test_decontamination(spark, docs, nothing):
     assert decontaminate.clean_documents(docs, benchmark.limit(0)).count() == len(ROWS)
 
 
+def test_decontamination_of_texts_under_one_id(spark):
+    """A leak removes its own row, not the others of its id or the others without one; items of one id are judged one by one."""
+    leak = " ".join(f"leak{i}" for i in range(30))
+    rows = [(1, f"a {leak} b"), (1, "a clean text under the id one"), (None, f"c {leak} d"), (None, "clean without an id"), (None, None), (2, "clean")]
+    part = " ".join(f"leak{i}" for i in range(30)) + " " + " ".join(f"other{i}" for i in range(60))
+    items = spark.createDataFrame([(1, leak), (None, leak), (None, part), (None, "not there at all in any text")], "item_id long, text string")
+    clean = decontaminate.clean_documents(table(spark, rows), items).collect()
+    assert sorted(((r.doc_id, r.text) for r in clean), key=str) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    found = decontaminate.contained_items(table(spark, rows), items).collect()
+    assert sorted((tuple(r) for r in found), key=str) == sorted(((d, i, 26, 26, 1.0) for d in (1, None) for i in (1, None)), key=str)
+
+
 def test_native_operators_run_no_python(spark, docs):
     schema = "conv_id long, turn long, role string, text string"
     chats = chat.format_chats(spark.createDataFrame([(1, 0, "user", "a")], schema))
