@@ -247,9 +247,8 @@ def _compare(counts):
 
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([zstandard.compress(x.encode(), 1) for x in batch.column(1).to_pylist()], pa.binary())], ["node", "text"]
-        )
+        packed = pa.array([zstandard.compress(x.encode(), 1) for x in batch.column(2).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "tie", "text"])
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:
@@ -299,11 +298,13 @@ def _joined(documents: DataFrame) -> DataFrame:
     first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies")).alias("first"))
     chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies"))))
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("tie") == F.col("of_tie"))
-    stands = docs.join(chosen, same).select("node", "text").mapInArrow(_compress, "node binary, text binary")
+    small = docs.where("text IS NOT NULL").mapInArrow(_compress, "doc_id long, tie long, text binary")
+    stands = small.join(chosen, same).select("node", "text")
     if not chosen.where("of_copies > 1").isEmpty():  # else no text comes twice
         stands = stands.dropDuplicates(["node"])
     texts = scratch.keep("texts", stands)
     scratch.drop("chosen")
+    spark.sparkContext._jvm.System.gc()  # the cleaner removes files of shuffles that nothing reads any more
 
     degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     first = entries.join(degree, "node").groupBy("token").agg(
