@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, counts, decontaminate, encode, fingerprints, lm, neighbours, quality, repeats, shard
+from wardlake.llm import chat, counts, decontaminate, encode, exact, fingerprints, lm, neighbours, quality, repair, repeats, shard
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -195,3 +195,118 @@ def op1_fingerprints(spark, folder):
 @query("op5_quality_classifier")
 def op5_quality_classifier(spark, folder):
     return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: CRC-32 of a short ASCII text, bit by bit; damage, faults, a table of cheapest edits per row, and the edits replayed.
+REPAIR_SQL = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    [4294967295::BIGINT] || list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda c: unicode(c)::BIGINT) AS bytes FROM conversations),
+kinds AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(bytes, lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) AS copies(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text[:64], sha256(text)) AS n FROM damaged),
+judged AS (
+  SELECT *, role[1] AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY n) || role[1] AS pair
+  FROM numbered),
+facts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+inserts(before, state, letters) AS (
+  VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+best AS (
+  SELECT conv_id, 0::BIGINT AS n, 0 AS state, {'cost': 0::BIGINT, 'audit': ''} AS way FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT conv_id, n, after, min(way) FROM (
+    SELECT r.conv_id, r.n, CASE letter WHEN 'D' THEN i.state WHEN 'R' THEN CASE i.state WHEN 2 THEN 3 ELSE 2 END
+        ELSE strpos('sua', r.initial) END AS after,
+      {'cost': b.way.cost + 3 * length(i.letters) + CASE letter WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END
+         + CASE WHEN r.fault = 3 AND letter <> 'D' THEN 3 ELSE 0 END, 'audit': b.way.audit || i.letters || letter} AS way
+    FROM best AS b JOIN judged AS r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.n = b.n + 1
+      JOIN inserts AS i ON i.before = b.state, (VALUES ('D'), ('R'), ('K')) AS e(letter)
+    WHERE letter = 'D' OR (r.fault NOT IN (1, 2) AND (letter = 'R' OR (r.initial = 's' AND i.state = 0)
+      OR (r.initial = 'u' AND i.state <> 2) OR (r.initial = 'a' AND i.state = 2))))
+  GROUP BY conv_id, n, after),
+ended AS (
+  SELECT b.conv_id, min({'cost': way.cost + CASE state WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END,
+    'audit': way.audit || CASE state WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END}) AS way
+  FROM best AS b JOIN (SELECT conv_id, max(n) AS rows FROM judged GROUP BY conv_id) AS l
+    ON l.conv_id IS NOT DISTINCT FROM b.conv_id AND l.rows = b.n GROUP BY b.conv_id),
+letters AS (
+  SELECT conv_id, way.audit AS audit, unnest(range(1, length(way.audit) + 1)) AS spot FROM ended),
+placed AS (
+  SELECT conv_id, spot, audit[spot] AS letter,
+    count(*) FILTER (audit[spot] <> 'I') OVER (PARTITION BY conv_id ORDER BY spot) AS n,
+    count(*) FILTER (audit[spot] <> 'D') OVER (PARTITION BY conv_id ORDER BY spot) AS out FROM letters),
+edited AS (
+  SELECT p.*, j.role, j.text, max(CASE WHEN letter = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS headed
+  FROM placed AS p LEFT JOIN judged AS j ON j.conv_id IS NOT DISTINCT FROM p.conv_id AND j.n = p.n),
+repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (out - headed) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS text
+  FROM edited WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost,
+  coalesce(way.audit, '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+  LEFT JOIN facts AS f ON f.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN ended AS e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN repaired AS r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, stripped of ends, repeated or given to the user, by a checksum of their key; nulls are one space."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    kind = F.pmod(F.crc32(key.cast("binary")), F.lit(20))
+    rows = conversations.select(
+        "conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), kind.alias("kind")
+    ).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies)).drop("col")
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
+def op12_conversation_repair(spark, folder):
+    conversations = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    done = repair.Repair(damaged(conversations))
+    counted = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    # One row per conversation from each side; grouping meets null ids too.
+    every = conversations.select("conv_id", *(F.lit(0).cast("long").alias(c) for c in counted), F.lit("").alias("audit"), F.lit(None).cast("string").alias("sha256"))
+    sides = every.unionByName(
+        done.conversations().select("conv_id", *counted, "audit", F.lit(None).cast("string").alias("sha256"))
+    ).unionByName(
+        repair.digests(done.rows()).select("conv_id", *(F.lit(0).cast("long").alias(c) for c in counted), F.lit("").alias("audit"), "sha256")
+    )
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return sides.groupBy("conv_id").agg(
+        *(F.max(c).alias(c) for c in counted), F.max("audit").alias("audit"), F.coalesce(F.max("sha256"), nothing).alias("repaired_sha256")
+    )
+
+
+GROUPS_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
+  sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op13_exact_dedup", GROUPS_SQL)
+def op13_exact_dedup(spark, folder):
+    return exact.exact_groups(table(spark, folder, "documents"))
