@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import path as tokenizer_path
 
-from wardlake.llm import chat, counts, decontaminate, encode, exact, fingerprints, lm, neighbours, quality, repair, repeats, shard
+from wardlake.llm import chat, counts, decontaminate, encode, exact, fingerprints, lm, neighbours, quality, repair, repeats, shard, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +197,11 @@ def op5_quality_classifier(spark, folder):
     return quality.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, folder):
+    return whiten.whiten(table(spark, folder, "embeddings"))
+
+
 #: CRC-32 of a short ASCII text, bit by bit; damage, faults, a table of cheapest edits per row, and the edits replayed.
 REPAIR_SQL = r"""
 WITH RECURSIVE keyed AS (
