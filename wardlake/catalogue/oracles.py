@@ -227,6 +227,20 @@ _CHECK_START = f"""CASE k % 8 WHEN 0 THEN '' WHEN 1 THEN '1995-13-01' WHEN 2 THE
 _CHECK_END = """CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN 'tomorrow'
   ELSE CAST(date_end + CAST(k % 4 - 2 AS INTEGER) AS VARCHAR) END"""
 
+def _throttled(events: str) -> str:
+    return f"""WITH RECURSIVE given AS (SELECT * FROM {events}),
+anchors AS (
+  SELECT user_id, min(ts) AS opened FROM given GROUP BY user_id
+  UNION ALL
+  SELECT a.user_id, min(e.ts) FROM anchors a JOIN given e ON e.user_id = a.user_id AND e.ts > a.opened + INTERVAL 6 HOURS
+  GROUP BY a.user_id),
+placed AS (
+  SELECT e.user_id, e.event_id, a.opened, row_number() OVER (PARTITION BY e.user_id, a.opened ORDER BY e.ts, e.event_id) AS rn
+  FROM given e ASOF JOIN anchors a ON e.user_id = a.user_id AND e.ts >= a.opened)
+SELECT user_id, count(*) AS events, count(*) FILTER (rn <= 5) AS passed, count(DISTINCT opened) AS windows,
+  CAST(sum(event_id) FILTER (rn <= 5) AS BIGINT) AS passed_ids FROM placed GROUP BY user_id"""
+
+
 ORACLES: dict[str, str] = {
     "extract_window": """
 SELECT o_orderkey AS checkup_id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_on FROM orders
@@ -455,16 +469,10 @@ SELECT CAST(k AS VARCHAR) AS k, '["' || departments[1] || '","' || departments[2
     "stream_sync": """
 SELECT event_id AS request_id, 'pending' AS status, 'data_access' AS request_type, '{"request_id":' || event_id || ',"requestor_id":' || user_id
   || ',"event_type":"' || event_type || '"}' AS request_payload FROM events""",
-    "throttle": """WITH RECURSIVE anchors AS (
-  SELECT user_id, min(ts) AS opened FROM events GROUP BY user_id
-  UNION ALL
-  SELECT a.user_id, min(e.ts) FROM anchors a JOIN events e ON e.user_id = a.user_id AND e.ts > a.opened + INTERVAL 6 HOURS
-  GROUP BY a.user_id),
-placed AS (
-  SELECT e.user_id, e.event_id, a.opened, row_number() OVER (PARTITION BY e.user_id, a.opened ORDER BY e.ts, e.event_id) AS rn
-  FROM events e ASOF JOIN anchors a ON e.user_id = a.user_id AND e.ts >= a.opened)
-SELECT user_id, count(*) AS events, count(*) FILTER (rn <= 5) AS passed, count(DISTINCT opened) AS windows,
-  CAST(sum(event_id) FILTER (rn <= 5) AS BIGINT) AS passed_ids FROM placed GROUP BY user_id""",
+    "throttle": _throttled("events"),
+    "throttle_hot_user": _throttled(
+        "(SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id) FROM events)"
+    ),
     "catalog_columns": """WITH counts AS (
   SELECT 'orders' AS table_name, count(*) AS records FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem
   UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'events', count(*) FROM events

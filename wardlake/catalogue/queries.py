@@ -670,20 +670,18 @@ def stream_sync(t):
     return kept.select("request_id", "status", "request_type", "request_payload")
 
 
-@query
-def throttle(t):
+def _throttled(t, events):
     """At most five events per user in six hours, over events that arrive in four stretches of time."""
     arrivals, verdicts, checkpoint = (scratch_path(t.spark, n) for n in ("arrivals", "verdicts", "checkpoint"))
-    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
     edges = [first + (last - first) * i / 4 for i in range(1, 4)]
     for low, high in zip([None, *edges], [*edges, None]):
-        stretch = t.events if low is None else t.events.filter(F.col("ts") >= F.lit(low))
+        stretch = events if low is None else events.filter(F.col("ts") >= F.lit(low))
         stretch = stretch if high is None else stretch.filter(F.col("ts") < F.lit(high))
         stretch.write.mode("append").parquet(arrivals)
-        stream = ingest.arriving(t.spark, arrivals, t.events.schema)
-        decided = throttling.throttle(stream, "user_id", "ts", "event_id", window_seconds=6 * 3600, limit=5)
-        ingest.append_available(decided, verdicts, checkpoint)
-    schema = "key long, ident long, opened long, allowed boolean"
+        stream = ingest.arriving(t.spark, arrivals, events.schema)
+        throttling.throttle_available(stream, verdicts, checkpoint, "user_id", "ts", "event_id", 6 * 3600, 5)
+    schema = "key long, ident long, opened long, allowed boolean, epoch int"
     return (
         t.spark.read.schema(schema)
         .parquet(verdicts)
@@ -697,6 +695,18 @@ def throttle(t):
     )
 
 
+@query
+def throttle(t):
+    return _throttled(t, t.events)
+
+
+@query
+def throttle_hot_user(t):
+    """The same where one user has a third of all events."""
+    user = F.when(F.col("event_id") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("user_id"))
+    return _throttled(t, t.events.withColumn("user_id", user))
+
+
 @query
 def catalog_columns(t):
     """Columns of the tables, with the rows each table holds."""
