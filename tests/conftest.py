@@ -8,12 +8,10 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from wardlake.session import local_session
 
     session = local_session(8, shuffle_partitions=4, memory="6g")
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 

@@ -74,6 +74,10 @@ HOSPITALS = """hospitals AS (
     CASE s_suppkey % 6 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'CREDENTIALS_ISSUED' WHEN 2 THEN 'INACTIVE' ELSE 'ACTIVE' END
       AS status FROM supplier)"""
 
+def _folded(day: str) -> str:
+    return f"(DATE '1998-01-01' + CAST(((date_diff('day', DATE '1998-01-01', CAST({day} AS DATE)) % 28) + 28) % 28 AS INTEGER))"
+
+
 CLINIC = f"""meds AS (
   SELECT l_orderkey AS k, count(*) AS n_meds, '[' || string_agg(item, ',' ORDER BY name, dosage, frequency, duration)
     || ']' AS prescription FROM (
@@ -110,7 +114,7 @@ clinic AS (
 
 VERSIONS = f"""versions AS (
   SELECT l_orderkey AS checkup_id, {_DEPARTMENTS}[1 + l_suppkey % 5] AS department_name,
-    CAST(CAST(date_trunc('year', l_shipdate) AS DATE) AS VARCHAR) AS checkup_date,
+    CAST({_folded('l_shipdate')} AS VARCHAR) AS checkup_date,
     CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS updated_on, CAST(l_linenumber AS BIGINT) AS line,
     l_partkey AS part_id, l_suppkey AS hospital_id, CAST(l_quantity AS BIGINT) AS quantity, l_returnflag AS flag
   FROM lineitem),
@@ -155,7 +159,7 @@ COUNTED = f"""counted AS (
     len({_split('notes')}) AS n_notes,
     coalesce(CAST(regexp_matches({_strip('blood_pressure')}, {_BP}) AS BIGINT), 0) AS n_pressure FROM clinic)"""
 
-DEFECTS = """defects AS (
+DEFECTS = f"""defects AS (
   SELECT CASE WHEN checkup_id % 11 < 6 THEN 'INVALID' ELSE 'VALID' END AS status,
     CASE checkup_id % 11 WHEN 0 THEN 'missing fhir_bundle_json' WHEN 1 THEN 'not JSON'
       WHEN 2 THEN 'unknown resourceType: Alien'
@@ -163,7 +167,7 @@ DEFECTS = """defects AS (
         || CASE WHEN has_insights THEN '; ClinicalImpression.status: field required' ELSE '' END
       WHEN 4 THEN 'not a JSON object' WHEN 5 THEN 'empty string' END AS error,
     CASE WHEN department_name IS NULL THEN 'unassigned' ELSE department_name END AS department,
-    CAST(CAST(date_trunc('year', created_on) AS DATE) AS VARCHAR) AS year FROM clinic)"""
+    CAST({_folded('created_on')} AS VARCHAR) AS day FROM clinic)"""
 
 _CUM = f"""steps AS (
   SELECT namespace, unnest(list_distinct(departments)) AS department_name, date_start, date_end FROM usable),
@@ -304,7 +308,7 @@ SELECT status AS fhir_validation_status, error AS validation_error, '19990101T00
 FROM defects GROUP BY ALL""",
     "publish_partitions": f"""WITH {CLINIC}, {DEFECTS}
 SELECT CASE WHEN status = 'VALID' THEN 'checkups' ELSE 'checkups_errors' END AS table_name, department AS department_name,
-  year AS checkup_date, 'b1' AS batch_id, '1995-01-01' AS batch_start_ts, '2002-01-01' AS batch_end_ts,
+  day AS checkup_date, 'b1' AS batch_id, '1995-01-01' AS batch_start_ts, '2002-01-01' AS batch_end_ts,
   '1999-01-01' AS ingest_date, count(*) AS records FROM defects GROUP BY ALL""",
     "upsert_latest": f"WITH {VERSIONS} SELECT * FROM newest",
     "upsert_table": _MERGED,
@@ -503,4 +507,24 @@ SELECT o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS
     "unreadable_times": f"""WITH {CLINIC}
 SELECT CASE WHEN checkup_id % 5 = 0 THEN 'checkups_errors' ELSE 'checkups' END AS table_name, count(*) AS records,
   CAST(sum(checkup_id) AS BIGINT) AS id_sum FROM clinic GROUP BY 1""",
+    "stream_checkups": f"""WITH {CLINIC}, given AS (
+  SELECT checkup_id, checkup_id % 3 AS run, checkup_id % 5 <> 0 AS readable, {_folded('created_on')} AS day FROM clinic)
+SELECT run, 'clinic' AS source, 'completed' AS status,
+  strftime(min(day) FILTER (readable), '%Y-%m-%dT00:00:00+00:00') AS window_start,
+  strftime(max(day) FILTER (readable), '%Y-%m-%dT00:00:00+00:00') AS window_end, count(*) AS records_extracted,
+  count(*) FILTER (readable) AS records_validated, count(*) FILTER (NOT readable) AS records_failed, count(*) AS stored,
+  CAST(sum(checkup_id) AS BIGINT) AS id_sum FROM given GROUP BY run""",
+    "windowed_runs": f"""WITH {CLINIC}, given AS (SELECT {_folded('created_on')} AS day FROM clinic),
+spans(a, b) AS (VALUES (DATE '1998-01-01', DATE '1998-01-08'), (DATE '1998-01-08', DATE '1998-01-20'),
+  (DATE '1998-01-20', DATE '1998-02-01'))
+SELECT strftime(a, '%Y-%m-%dT00:00:00') AS window_start, strftime(b, '%Y-%m-%dT00:00:00') AS window_end,
+  'completed' AS status, count(*) AS records_extracted, count(*) AS records_validated, CAST(0 AS BIGINT) AS records_failed,
+  count(*) AS stored, CAST(3600 AS BIGINT) AS next_run_in_seconds
+FROM given JOIN spans ON day >= a AND day < b GROUP BY a, b""",
+    "moved_dates": f"""WITH {VERSIONS}
+SELECT CAST(CAST(checkup_date AS DATE) + CAST(1 - checkup_id % 2 AS INTEGER) AS VARCHAR) AS checkup_date, count(*) AS records,
+  count(DISTINCT checkup_id) AS checkups, CAST(sum(line + 100) AS BIGINT) AS lines FROM newest GROUP BY 1""",
+    "compact_partitions": f"""WITH {VERSIONS}
+SELECT department_name, checkup_date, count(*) AS records, CAST(sum(checkup_id) AS BIGINT) AS id_sum, CAST(1 AS BIGINT) AS files
+FROM versions GROUP BY department_name, checkup_date""",
 }

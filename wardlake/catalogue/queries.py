@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +19,8 @@ from wardlake.plans import batch
 from wardlake.plans.bundle import bundle_entries
 from wardlake.plans.normalise import normalise, with_bundle
 from wardlake.plans.validate import validate
-from wardlake.session import prepare, scratch_path
-from wardlake.sources import browse, extract, publish
+from wardlake.session import delete_path, prepare, scratch_path
+from wardlake.sources import browse, extract, ledger, publish
 from wardlake.sources.denormalise import denormalise
 from wardlake.streaming import ingest, sync
 from wardlake.streaming import throttle as throttling
@@ -243,16 +244,14 @@ def validate_split(t):
 # --- publishing ------------------------------------------------------------
 
 
-def _yearly(t):
-    """Validated checkups dated by year, so that a partition holds many rows."""
-    year = F.date_trunc("year", F.col("checkup_created_at"))
-    return validate(_defective(t).withColumn("checkup_created_at", year), S.now())
+def _in_period(rows):
+    return rows.withColumn("checkup_created_at", S.folded(F.col("checkup_created_at")).cast("timestamp"))
 
 
 @query
 def publish_partitions(t):
     root = scratch_path(t.spark, "publish")
-    batch.run_batch(_yearly(t), root, "b1", "1995-01-01", "2002-01-01", S.now(), checked=True)
+    batch.run_batch(validate(_in_period(_defective(t)), S.now()), root, "b1", "1995-01-01", "2002-01-01", S.now(), checked=True)
     published = [
         publish.read_table(t.spark, f"{root}/{name}").withColumn("table_name", F.lit(name))
         for name in (publish.TABLE, publish.ERROR_TABLE)
@@ -795,18 +794,119 @@ def result_rows(t):
     return out.withColumns({"row_count": F.lit(result.row_count).cast("long"), "cut": F.lit(result.cut)})
 
 
-@query
-def unreadable_times(t):
-    """A whole run over checkups whose creation times are texts, a part of them unreadable."""
-    root = scratch_path(t.spark, "texts")
+def _some_unreadable(t):
+    """Checkups whose creation times are texts, a part of them unreadable."""
     k = F.col("checkup_id")
     created = F.when(k % 5 == 0, F.concat(F.lit("day "), k.cast("string"))).otherwise(
-        F.date_format(F.date_trunc("year", F.col("checkup_created_at")), "yyyy-MM-dd HH:mm:ss")
+        F.date_format("checkup_created_at", "yyyy-MM-dd HH:mm:ss")
     )
-    batch.run_batch(denormalise(S.clinic(t)).withColumn("checkup_created_at", created), root, "b1", "", "", S.now())
+    return _in_period(denormalise(S.clinic(t))).withColumn("checkup_created_at", created)
+
+
+def _both_tables(t, root, *columns):
     published = [
-        publish.read_table(t.spark, f"{root}/{name}").select("checkup_id", F.lit(name).alias("table_name"))
+        publish.read_table(t.spark, f"{root}/{name}").select(*columns, F.lit(name).alias("table_name"))
         for name in (publish.TABLE, publish.ERROR_TABLE)
     ]
-    both = published[0].unionByName(published[1])
+    return published[0].unionByName(published[1])
+
+
+@query
+def unreadable_times(t):
+    """A whole run over them."""
+    root = scratch_path(t.spark, "texts")
+    batch.run_batch(_some_unreadable(t), root, "b1", "", "", S.now())
+    both = _both_tables(t, root, "checkup_id")
     return both.groupBy("table_name").agg(F.count("*").alias("records"), F.sum("checkup_id").alias("id_sum"))
+
+
+@query
+def stream_checkups(t):
+    """Raw checkups that arrive in three parts, and the last of them once more after its commit is lost.
+
+    One row per run of the job history, with what the two tables hold of it.
+    """
+    arrivals, root, checkpoint = (scratch_path(t.spark, n) for n in ("arrivals", "lake", "checkpoint"))
+    rows = _some_unreadable(t)
+    whole = scratch_path(t.spark, "whole")
+    rows.write.parquet(whole)
+    raw = t.spark.read.schema(rows.schema).parquet(whole)
+    for part in range(3):
+        raw.where(F.col("checkup_id") % 3 == part).write.mode("append").parquet(arrivals)
+        ingest.stream_checkups(ingest.arriving(t.spark, arrivals, rows.schema), root, checkpoint, "clinic")
+    delete_path(t.spark, f"{checkpoint}/commits/2")
+    ingest.stream_checkups(ingest.arriving(t.spark, arrivals, rows.schema), root, checkpoint, "clinic")
+    stored = _both_tables(t, root, "checkup_id", "batch_id").groupBy("batch_id").agg(
+        F.count("*").alias("stored"), F.sum("checkup_id").alias("id_sum")
+    )
+    runs = ledger.history(t.spark, f"{root}/{ledger.RUNS}")
+    return runs.join(stored, F.col("job_id") == F.col("batch_id")).select(
+        F.regexp_extract("job_id", r"(\d+)$", 1).cast("long").alias("run"),
+        "source",
+        "status",
+        "window_start",
+        "window_end",
+        "records_extracted",
+        "records_validated",
+        "records_failed",
+        "stored",
+        "id_sum",
+    )
+
+
+@query
+def windowed_runs(t):
+    """Three runs of one source, each from where the one before ended, as the job history has them."""
+    root = scratch_path(t.spark, "lake")
+    rows = _in_period(denormalise(S.clinic(t)))
+    days = [datetime(1998, 1, 8), datetime(1998, 1, 8), datetime(1998, 1, 20), datetime(1998, 2, 1)]
+    for now in days:  # the second finds nothing to do
+        batch.run_next(rows, root, "clinic", now, datetime(1998, 1, 1))
+    runs = ledger.history(t.spark, f"{root}/{ledger.RUNS}")
+    shown = jobs.job_metrics(runs).where(F.col("duration").rlike(r"^(\d+m )?\d+s$"))
+    due = ledger.schedule(runs, F.lit(3600), F.col("last_run_end")).select("source", "next_run_in_seconds")
+    stored = publish.read_table(t.spark, f"{root}/{publish.TABLE}").groupBy("batch_id").agg(F.count("*").alias("stored"))
+    return (
+        shown.join(runs.select("job_id", "source", "window_start", "window_end"), "job_id")
+        .join(stored, F.col("job_id") == F.col("batch_id"))
+        .join(due, "source")
+        .select(
+            "window_start", "window_end", "status", "records_extracted", "records_validated", "records_failed", "stored",
+            "next_run_in_seconds",
+        )
+    )
+
+
+@query
+def moved_dates(t):
+    """Versions whose department and date both change: the key stays once, where its newest version puts it."""
+    path = scratch_path(t.spark, "moved")
+    rows = S.versions(t)
+    late = F.col("checkup_id") % 2 == 0
+    shifted = rows.withColumns(
+        {
+            "checkup_date": F.when(late, F.date_add("checkup_date", 1)).otherwise(F.col("checkup_date")),
+            "line": F.col("line") + 100,
+        }
+    )
+    for name, part in (("first", rows), ("corrected", shifted)):
+        publish.upsert(part, path, name, ["checkup_id"], S.newest_version())
+    table = publish.read_table(t.spark, path, rows.schema)
+    return table.groupBy(F.col("checkup_date").cast("string").alias("checkup_date")).agg(
+        F.count("*").alias("records"), F.count_distinct("checkup_id").alias("checkups"), F.sum("line").alias("lines")
+    )
+
+
+@query
+def compact_partitions(t):
+    """Rows appended three times, then every department and day packed into one file."""
+    path = scratch_path(t.spark, "packed")
+    rows = S.versions(t)
+    for flag in ("N", "A", "R"):
+        publish.write_table(rows.filter(F.col("flag") == flag), path)
+    publish.compact(t.spark, path, rows.schema)
+    table = publish.read_table(t.spark, path, rows.schema)
+    held = table.groupBy("department_name", "checkup_date").agg(F.count("*").alias("records"), F.sum("checkup_id").alias("id_sum"))
+    return held.join(publish.file_sizes(table), ["department_name", "checkup_date"]).select(
+        "department_name", F.col("checkup_date").cast("string").alias("checkup_date"), "records", "id_sum", "files"
+    )

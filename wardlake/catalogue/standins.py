@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 # moment that counts as now.
 DEPARTMENTS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 NOW = "1999-01-01 00:00:00"
+# The test dates spread a few thousand rows over some 2,400 days. Folded into the
+# days of one period they fill a department and day with as many rows as a
+# real one has at a larger scale; no row or day of the period is left out.
+PERIOD_START, PERIOD_DAYS = "1998-01-01", 28
 
 
 class Tables:
@@ -30,6 +34,12 @@ def now() -> Column:
     return F.to_timestamp(F.lit(NOW))
 
 
+def folded(day: Column) -> Column:
+    """A date as a day of the period."""
+    begin = F.to_date(F.lit(PERIOD_START))
+    return F.date_add(begin, F.pmod(F.datediff(day.cast("date"), begin), F.lit(PERIOD_DAYS)))
+
+
 def text(c: Column) -> Column:
     return c.cast("string")
 
@@ -218,7 +228,7 @@ def versions(t: Tables) -> DataFrame:
         F.element_at(F.array(*[F.lit(d) for d in DEPARTMENTS]), (1 + F.col("l_suppkey") % 5).cast("int")).alias(
             "department_name"
         ),
-        F.trunc(F.col("l_shipdate").cast("date"), "year").alias("checkup_date"),
+        folded(F.col("l_shipdate")).alias("checkup_date"),
         F.col("l_shipdate").cast("date").alias("updated_on"),
         F.col("l_linenumber").alias("line"),
         F.col("l_partkey").alias("part_id"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
+import pyspark
 from pyspark.sql import SparkSession
 
 # Runtime settings the library's results depend on. Broadcast joins are left to
@@ -28,8 +30,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+    """A session of this machine; where no shared folder is set, one in its temporary folder."""
+    builder = SparkSession.builder
+    if not _preset("spark.checkpoint.dir"):
+        builder = builder.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="wardlake-"))
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName("wardlake")
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
@@ -42,17 +48,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return prepare(spark)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+def _preset(key: str) -> str | None:
+    """What a running session or the files of this installation set."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active.conf.get(key, None)
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__), "conf")
+    try:
+        with open(os.path.join(folder, "spark-defaults.conf")) as lines:
+            pairs = [line.replace("=", " ", 1).split(None, 1) for line in lines if not line.lstrip().startswith("#")]
+    except OSError:
+        return None
+    return next((p[1].strip() for p in pairs if len(p) == 2 and p[0] == key), None)
 
-    Only a local master may fall back to a folder of this machine.
-    """
+
+def scratch_root(spark: SparkSession) -> str:
+    """The folder for intermediate tables, in the shared folder named by ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="wardlake-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder all executors share")
     return f"{base.rstrip('/')}/wardlake"
 
 
