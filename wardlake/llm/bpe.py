@@ -207,4 +207,4 @@ def special_spans(buf: np.ndarray, off: np.ndarray, special: dict[str, int]) ->
 
 
 def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return vec.span(vec.prefix(buf), start, end)
+    return vec.names(buf, start, end)

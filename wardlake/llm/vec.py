@@ -11,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+PLAIN = 64  # bytes up to which a run is named by its polynomial
+_SEED = 0x5851F42D4C957F2D
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -75,6 +78,21 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * low + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def names(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash that stands for each run of bytes.
+
+    Powers modulo 2**64 lose their low bits over long runs: a run of letters and its
+    mirror can meet there whatever the base. Runs over ``PLAIN`` bytes are
+    therefore hashed by XXH3, byte for byte.
+    """
+    out = span(prefix(buf), start, end)
+    long = np.flatnonzero(end - start > PLAIN)
+    if len(long):
+        raw = np.ascontiguousarray(buf).data
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b], _SEED) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+    return out
+
+
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each word between ASCII white space."""
     inside = ~SPACE[buf]
@@ -96,7 +114,7 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def word_hashes(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hash of each word, A-Z in lower case, and its row."""
     start, end, row = words(buf, off)
-    return span(prefix(LOWER[buf]), start, end), row
+    return names(LOWER[buf], start, end), row
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, width: int = 5) -> list[np.ndarray]:
