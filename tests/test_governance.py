@@ -215,3 +215,26 @@ def test_throttle_decisions():
             starts, allowed, opened, passed = _decide(piece, window, limit, opened, passed)
             got += list(zip(starts.tolist(), allowed.tolist()))
         assert got == wanted
+
+
+def test_deep_pages(spark):
+    rows = [(i, i % 3, "same") for i in range(900)] + [(None, 1, None)] * 5
+    df = spark.createDataFrame(rows, "id int, bucket int, name string").repartition(5)
+    newest = [F.col("bucket").desc(), F.col("id").asc_nulls_last()]
+    whole = [tuple(r) for r in df.orderBy(*newest).collect()]
+    for offset, limit in ((0, 20), (450, 50), (890, 100), (2000, 5)):
+        page = listing.deep_page(df, newest, limit, offset).collect()
+        assert [tuple(r)[:3] for r in page] == whole[offset : offset + limit]
+        assert {r.total for r in page} <= {905}
+    # All rows equal in the order: still every row on one page only.
+    same = spark.createDataFrame([("x",)] * 300, "name string").withColumn("n", F.monotonically_increasing_id())
+    assert listing.deep_page(same, [F.col("name")], 100, 150).count() == 100
+    # Only rows of the page are sorted together: the sort before it is within the ranges.
+    plan = listing.deep_page(df, newest, 20, 450)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "_rank" in plan
+
+
+def test_profile(spark):
+    tables = {"a": spark.createDataFrame([(1, None), (2, "x")], "id int, `odd name` string"), "b": spark.range(0)}
+    got = {(r.table_name, r.column_name): (r.records, r.nulls) for r in browse.profile(tables).collect()}
+    assert got == {("a", "id"): (2, 0), ("a", "odd name"): (2, 1), ("b", "id"): (0, 0)}

@@ -439,6 +439,10 @@ SELECT hospital_id, name, status FROM hospitals WHERE contains(lower(name), 'act
 SELECT request_id, status, CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_on,
   (SELECT count(*) FROM requests WHERE status = 'FORWARDED') AS total
 FROM requests WHERE status = 'FORWARDED' ORDER BY created_at DESC, request_id DESC LIMIT 200 OFFSET 40""",
+    "list_deep_page": f"""WITH {REQUESTS}, ranked AS (
+  SELECT *, row_number() OVER (ORDER BY created_at DESC, request_id DESC) AS rn, count(*) OVER () AS total FROM requests)
+SELECT request_id, status, CAST(CAST(created_at AS DATE) AS VARCHAR) AS created_on, total FROM ranked
+WHERE rn > total // 2 AND rn <= total // 2 + 200""",
     "recent_requests": f"""WITH {REQUESTS}
 SELECT request_id, status FROM requests ORDER BY created_at DESC, request_id DESC LIMIT 5""",
     "audit_page": f"""
@@ -484,7 +488,16 @@ SELECT event_id AS request_id, 'pending' AS status, 'data_access' AS request_typ
 SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name, records
 FROM information_schema.columns JOIN counts USING (table_name)""",
     "nested_medications": """
-SELECT l_orderkey, count(*) AS items, CAST(sum(l_partkey) AS BIGINT) AS part_sum FROM lineitem GROUP BY l_orderkey""",
+SELECT l_orderkey, count(*) AS items, CAST(sum(l_partkey) AS BIGINT) AS part_sum,
+  string_agg(l_partkey || '-' || l_suppkey || '-' || l_linenumber, ',' ORDER BY l_partkey, l_suppkey, l_linenumber) AS lines
+FROM lineitem GROUP BY l_orderkey""",
+    "extract_slices": """WITH days AS (
+  SELECT date_trunc('day', o_orderdate) AS day, count(*) AS n, sum(o_orderkey) AS ids FROM orders
+  WHERE o_orderdate >= TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-03-01' GROUP BY 1),
+placed AS (
+  SELECT *, CAST(floor((sum(n) OVER (ORDER BY day) - n) * 8 / sum(n) OVER ()) AS BIGINT) AS place FROM days)
+SELECT dense_rank() OVER (ORDER BY place) - 1 AS slice, CAST(sum(n) AS BIGINT) AS records, CAST(sum(ids) AS BIGINT) AS id_sum
+FROM placed GROUP BY place""",
     "stage_windows": """
 SELECT 'filled' AS window, true AS written, count(*) AS records, CAST(sum(o_orderkey) AS BIGINT) AS id_sum FROM orders
 WHERE o_orderdate > TIMESTAMP '1996-03-01' AND o_orderdate < TIMESTAMP '1998-03-01'
@@ -492,9 +505,16 @@ UNION ALL SELECT 'empty', false, 0, NULL""",
     "sql_views": """
 SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT c_custkey) AS customers
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
-    "browse_tables": """
-SELECT table_name, count(*) AS columns, CAST(1 AS BIGINT) AS schemas FROM information_schema.columns
-WHERE table_name IN ('orders', 'customer', 'nation') GROUP BY table_name""",
+    "browse_tables": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS records, count(*) - count({column}) AS nulls,"
+        f" CAST(1 AS BIGINT) AS schemas FROM {table}"
+        for table, columns in {
+            "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+            "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+            "nation": "n_nationkey n_name n_regionkey",
+        }.items()
+        for column in columns.split()
+    ),
     "audit_export": """
 SELECT event_type AS action, count(*) AS entries, CAST(sum(event_id) AS BIGINT) AS id_sum FROM (
   SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) GROUP BY event_type""",

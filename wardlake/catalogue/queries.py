@@ -52,6 +52,20 @@ def extract_window(t):
     )
 
 
+@query
+def extract_slices(t):
+    """A window read in eight slices of near equal rows, cut by a histogram of its days."""
+    start, end = datetime(1996, 3, 1), datetime(1998, 3, 1)
+    rows = extract.in_window(t.orders, start, end, "o_orderdate", include_start=True)
+    edges = extract.equal_depth_edges(extract.window_histogram(rows, "o_orderdate"), 8)
+    parts = extract.edge_predicates(start, end, edges, "o_orderdate", include_start=True)
+    counted = [
+        t.orders.where(part).agg(F.count("*").alias("records"), F.sum("o_orderkey").alias("id_sum")).withColumn("slice", F.lit(i).cast("long"))
+        for i, part in enumerate(parts)
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 @query
 def denormalize_checkups(t):
     return denormalise(S.clinic(t)).select(
@@ -581,6 +595,15 @@ def list_page(t):
     return page.select("request_id", "status", F.col("created_at").cast("date").cast("string").alias("created_on"), "total")
 
 
+@query
+def list_deep_page(t):
+    """A page that begins in the middle of all requests."""
+    rows = S.requests(t)
+    newest = [F.col("created_at").desc(), F.col("request_id").desc()]
+    page = listing.deep_page(rows, newest, limit=200, offset=rows.count() // 2)
+    return page.select("request_id", "status", F.col("created_at").cast("date").cast("string").alias("created_on"), "total")
+
+
 @query
 def recent_requests(t):
     newest = [F.col("created_at").desc(), F.col("request_id").desc()]
@@ -657,14 +680,13 @@ def stringify_rows(t):
 
 @query
 def stream_sync(t):
-    """Two polls that deliver the same events; each is stored once."""
-    store = scratch_path(t.spark, "store")
-    schema = t.events.schema
-    for _ in range(2):
-        polled = ingest.arriving(t.spark, t.folder, schema, pattern="events.parquet").select(
-            F.col("event_id").alias("request_id"), F.col("user_id").alias("requestor_id"), "event_type"
-        )
-        sync.stream_sync(polled, store, scratch_path(t.spark, "checkpoint"))
+    """Ten polls, of which each brings again what the one before brought; every event is stored once."""
+    arrivals, store, checkpoint = (scratch_path(t.spark, n) for n in ("arrivals", "store", "checkpoint"))
+    rows = t.events.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("requestor_id"), "event_type")
+    for poll in range(10):
+        brought = rows.where((F.col("request_id") % 10 == poll) | (F.col("request_id") % 10 == poll - 1))
+        brought.write.mode("append").parquet(arrivals)
+        sync.stream_sync(ingest.arriving(t.spark, arrivals, rows.schema), store, checkpoint)
     kept = t.spark.read.parquet(store)
     return kept.select("request_id", "status", "request_type", "request_payload")
 
@@ -724,6 +746,9 @@ def nested_medications(t):
     sizes = lists.groupBy("l_orderkey").agg(
         long(F.sum(F.size("items"))).alias("items"),
         long(F.sum(F.expr("aggregate(items, 0L, (a, i) -> a + i.l_partkey)"))).alias("part_sum"),
+        F.max(
+            F.expr("array_join(transform(sort_array(items), i -> concat_ws('-', i.l_partkey, i.l_suppkey, i.l_linenumber)), ',')")
+        ).alias("lines"),
     )
     return sizes
 
@@ -759,12 +784,11 @@ def sql_views(t):
 
 @query
 def browse_tables(t):
-    """Registered tables with their columns."""
+    """Registered tables with their columns, the rows they hold and how many values are missing."""
     names = ("orders", "customer", "nation")
     browse.register({n: getattr(t, n) for n in names})
     listed = browse.list_tables(t.spark).where(F.col("table_name").isin(*names)).select("table_name").distinct()
-    columns = browse.list_columns({n: t.spark.table(n) for n in names})
-    counted = columns.groupBy("table_name").agg(F.count("*").alias("columns"))
+    counted = browse.profile({n: t.spark.table(n) for n in names})
     in_default = browse.list_schemas(t.spark).where("schema_name = 'default'").agg(F.count("*").alias("n"))
     return listed.join(counted, "table_name").withColumn("schemas", in_default.scalar())
 

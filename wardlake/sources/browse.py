@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,19 @@ def list_columns(tables: Mapping[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame(rows, "table_name string, position int, column_name string, data_type string")
 
 
+def profile(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, column_name, records, nulls`` of every column, counted in one pass over each table."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        counts = [F.struct(F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("filled")) for c in df.columns]
+        row = df.agg(F.count("*").alias("records"), F.array(*counts).alias("columns"))
+        return row.select(F.lit(name).alias("table_name"), "records", F.explode("columns").alias("c")).select(
+            "table_name", "c.column_name", "records", (F.col("records") - F.col("c.filled")).alias("nulls")
+        )
+
+    return reduce(DataFrame.unionByName, [one(name, df) for name, df in tables.items()])
+
+
 def register(tables: Mapping[str, DataFrame]) -> None:
     """Make tables readable by name with ``spark.sql``."""
     for name, df in tables.items():

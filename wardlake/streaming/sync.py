@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardlake.operators.latest import latest
-from wardlake.session import path_exists
 from wardlake.streaming.ingest import run_available
 
 PAYLOAD = "request_payload"
+# Fixed value: the provider that keeps keyed state out of the heap.
+STATE_STORE = (
+    "spark.sql.streaming.stateStore.providerClass",
+    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+)
 
 
 def as_stored(requests: DataFrame) -> DataFrame:
@@ -26,15 +29,24 @@ def as_stored(requests: DataFrame) -> DataFrame:
 
 
 def stream_sync(stream: DataFrame, store: str, checkpoint: str) -> None:
-    """Append the requests of each poll that are not stored yet."""
-
-    def keep_new(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        rows = as_stored(batch)
-        polled = latest(rows, ["request_id"], [F.col(PAYLOAD)])  # of several versions always the same one
-        if path_exists(spark, store):
-            stored = spark.read.schema(rows.schema).parquet(store)
-            polled = polled.join(stored.select("request_id"), "request_id", "left_anti")
-        polled.write.mode("append").parquet(store)
-
-    run_available(stream, checkpoint, keep_new)
+    """Keep each request of the polls once, as its first poll had it, in ``store``/poll=N.
+
+    Which requests are known is keyed state of the stream (in RocksDB, on the executors):
+    a poll looks up the ids it brings and reads nothing that is stored. Of several
+    versions in one poll the least payload counts. A poll that is replayed writes its own folder
+    again. A store belongs to one checkpoint.
+    """
+    stream.sparkSession.conf.set(*STATE_STORE)
+    polled = as_stored(stream).withColumn("_polled", F.current_timestamp())  # one instant per poll
+    known = polled.groupBy("request_id").agg(
+        F.min(PAYLOAD).alias(PAYLOAD), F.min("_polled").alias("first"), F.max("_polled").alias("last")
+    )
+
+    def keep_new(batch: DataFrame, poll: int) -> None:
+        new = batch.where(F.col("first") == F.col("last"))
+        rows = new.select(
+            "request_id", F.lit("data_access").alias("request_type"), F.lit("pending").alias("status"), PAYLOAD
+        )
+        rows.write.mode("overwrite").parquet(f"{store}/poll={poll}")
+
+    run_available(known, checkpoint, keep_new, "update")
