@@ -275,3 +275,22 @@ def test_key_is_required(spark):
     df = spark.createDataFrame([(None, bundle(OBSERVATION)), (0, bundle(OBSERVATION))], "checkup_id long, fhir_bundle_json string")
     got = {r.checkup_id: r.validation_error for r in validate(df).collect()}
     assert got == {None: "missing checkup_id", 0: None}
+
+
+def test_a_checker_that_raises_spoils_only_its_row(spark):
+    bundle = '{"resourceType":"Bundle","type":"collection","entry":[]}'
+    df = spark.createDataFrame([(1, bundle), (2, bundle.replace("collection", "batch")), (3, "not JSON"), (None, bundle)], "checkup_id int, fhir_bundle_json string")
+
+    def checker():
+        def check(text):
+            if "batch" in text:
+                raise KeyError("entry")
+
+        return check
+
+    rows = {r.checkup_id: r for r in validate(df, checker=checker).collect()}
+    assert {k: r.validation_error for k, r in rows.items()} == {1: None, 2: "KeyError: 'entry'", 3: "not JSON", None: "missing checkup_id"}
+    assert rows[1].fhir_validation_status == "VALID" and rows[2].fhir_validation_status == "INVALID"
+    assert [r.asDict() for r in validate(df).collect() if r.checkup_id == 1][0]["fhir_bundle_json"] == rows[1].fhir_bundle_json
+    plan = validate(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan

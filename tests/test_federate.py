@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wardlake.operators import federate
 from wardlake.operators.federate import AccessDenied, Request, Selection
+from wardlake.sources import browse
 
 D = dt.date
 
@@ -136,3 +137,48 @@ def test_filters_reach_the_partitions(spark, tmp_path, grants, requests):
     assert "PartitionFilters: [isnotnull(department_name" in plan or "PartitionFilters: [isnotnull(checkup_date" in plan
     assert len(out.inputFiles()) >= 1
     assert {i % 28 for i in ids(out)} == {2, 3}
+
+
+def test_common_types():
+    kinds = {
+        "bigint": {"int", "bigint"}, "double": {"int", "double"}, "date": {"date", "string"}, "timestamp": {"date", "timestamp", "string"},
+        "string": {"date", "int"}, "int": {"int"},
+    }
+    assert all(federate.common_type(found) == wanted for wanted, found in kinds.items())
+    assert federate.common_type({"decimal(10,2)", "int"}) == "double" and federate.common_type({"string"}) == "string"
+
+
+def test_union_of_unequal_sites(spark):
+    sites = {
+        "a": spark.createDataFrame([(1, "2024-01-01"), (2, "soon"), (3, None)], "id int, `the day` string"),
+        "b": spark.createDataFrame([(4_000_000_000, 1.5)], "id long, weight double"),
+        "c": spark.sql("SELECT '7x' AS id, date'2024-02-02' AS `the day`, 'kg' AS weight"),
+    }
+    got = {tuple(str(v) for v in r) for r in federate.union_sites(sites).collect()}
+    assert got == {
+        ("1", "2024-01-01", "None", "None"),
+        ("2", "None", "None", "a.the day is no date: soon"),
+        ("3", "None", "None", "None"),
+        ("4000000000", "None", "1.5", "None"),
+        ("None", "2024-02-02", "None", "c.id is no bigint: 7x; c.weight is no double: kg"),
+    }
+
+
+def test_governed_sql_sees_only_granted_rows(spark, tmp_path):
+    rows = [(i, "ns", "AB"[i % 2], f"2024-01-{1 + i:02d}") for i in range(6)]
+    path = f"{tmp_path}/t"
+    spark.createDataFrame(rows, "id int, namespace string, department_name string, day string").selectExpr(
+        "id", "namespace", "department_name", "date(day) checkup_date"
+    ).write.parquet(path)
+    spark.createDataFrame([(1,)], "secret int").createOrReplaceTempView("hidden")
+
+    def grants(own):
+        return own.sql("SELECT 'g' grant_id, 'ns' namespace, array('A') departments, date'2024-01-02' date_start, cast(null AS date) date_end")
+
+    own = browse.governed_session(spark, {"checkups": lambda s: s.read.parquet(path)}, grants)
+    found = browse.governed_sql(own, "SELECT id FROM checkups WHERE id <= :most -- all", most=4)
+    assert sorted(r.id for r in found.collect()) == [2, 4]
+    for bad in ("SELECT * FROM hidden", f"SELECT * FROM parquet.`{path}`", "DROP VIEW checkups", "SELECT 1) UNION (SELECT"):
+        with pytest.raises(Exception):
+            browse.governed_sql(own, bad).collect()
+    assert browse.governed_sql(own, "SELECT id FROM checkups WHERE department_name = :d", d="' OR true --").count() == 0

@@ -306,6 +306,10 @@ SELECT o_orderkey AS checkup_id, 'bundle-' || sha256(o_orderkey || 'v2') AS bund
     "validate_split": f"""WITH {CLINIC}, {DEFECTS}
 SELECT status AS fhir_validation_status, error AS validation_error, '19990101T000000' AS validated_at, count(*) AS records
 FROM defects GROUP BY ALL""",
+    "validator_hook": f"""WITH {CLINIC}, {DEFECTS.replace('FROM clinic)', ', has_temperature FROM clinic)')}
+SELECT CASE WHEN error IS NULL AND has_temperature THEN 'VALID' ELSE 'INVALID' END AS fhir_validation_status,
+  CASE WHEN error IS NULL AND NOT has_temperature THEN 'ValueError: no temperature' ELSE error END AS validation_error,
+  count(*) AS records FROM defects GROUP BY ALL""",
     "publish_partitions": f"""WITH {CLINIC}, {DEFECTS}
 SELECT CASE WHEN status = 'VALID' THEN 'checkups' ELSE 'checkups_errors' END AS table_name, department AS department_name,
   day AS checkup_date, 'b1' AS batch_id, '1995-01-01' AS batch_start_ts, '2002-01-01' AS batch_end_ts,
@@ -315,6 +319,12 @@ SELECT CASE WHEN status = 'VALID' THEN 'checkups' ELSE 'checkups_errors' END AS
     "stream_publish": _MERGED,
     "federated_select": f"""WITH {CHECKUPS}, {GRANTS}, {_BRANCHES}
 SELECT checkup_id, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date, namespace, patient_id FROM federated""",
+    "federated_unequal": f"""WITH {CHECKUPS}
+SELECT checkup_id, namespace, CASE WHEN namespace <> 'europe' THEN department_name END AS department_name,
+  CASE WHEN namespace <> 'asia' OR patient_id % 7 <> 0 THEN patient_id END AS patient_id,
+  CASE WHEN namespace = 'europe' THEN 'w1' END AS ward, strftime(checkup_date, '%Y-%m-%d 00:00:00') AS checkup_date,
+  CASE WHEN namespace = 'asia' AND patient_id % 7 = 0 THEN 'asia.patient_id is no bigint: P-' || patient_id END AS unfit
+FROM checkups WHERE namespace IN ('africa', 'asia', 'europe')""",
     "federated_topk": f"""WITH {CHECKUPS}, {GRANTS}, {_BRANCHES}
 SELECT checkup_id, department_name, CAST(checkup_date AS VARCHAR) AS checkup_date FROM federated
 ORDER BY checkup_date DESC, checkup_id DESC LIMIT 10001""",
@@ -505,6 +515,12 @@ UNION ALL SELECT 'empty', false, 0, NULL""",
     "sql_views": """
 SELECT c_mktsegment AS segment, count(*) AS orders, count(DISTINCT c_custkey) AS customers
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
+    "sql_governed": f"""WITH {CHECKUPS}, {GRANTS}
+SELECT namespace, department_name, count(*) AS checkups, CAST(sum(checkup_id) AS BIGINT) AS id_sum FROM checkups c
+WHERE checkup_date >= DATE '1996-01-01' AND EXISTS (
+  SELECT 1 FROM usable u WHERE u.requestor_id = 'q7' AND u.namespace = c.namespace AND list_contains(u.departments, c.department_name)
+  AND (u.date_start IS NULL OR c.checkup_date >= u.date_start) AND (u.date_end IS NULL OR c.checkup_date <= u.date_end))
+GROUP BY namespace, department_name""",
     "browse_tables": " UNION ALL ".join(
         f"SELECT '{table}' AS table_name, '{column}' AS column_name, count(*) AS records, count(*) - count({column}) AS nulls,"
         f" CAST(1 AS BIGINT) AS schemas FROM {table}"

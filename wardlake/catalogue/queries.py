@@ -255,6 +255,24 @@ def validate_split(t):
     )
 
 
+def _needs_temperature():
+    """A checker of the caller's: it raises for bundles without a temperature."""
+    import json
+
+    def check(bundle: str) -> None:
+        names = [e["resource"].get("code", {}).get("text") for e in json.loads(bundle)["entry"]]
+        if "Temperature" not in names:
+            raise ValueError("no temperature")
+
+    return check
+
+
+@query
+def validator_hook(t):
+    checked = validate(_defective(t), S.now(), checker=_needs_temperature)
+    return checked.groupBy("fhir_validation_status", "validation_error").agg(F.count("*").alias("records"))
+
+
 # --- publishing ------------------------------------------------------------
 
 
@@ -358,6 +376,20 @@ def federated_select(t):
     return rows.withColumn("checkup_date", F.col("checkup_date").cast("string"))
 
 
+@query
+def federated_unequal(t):
+    """Three sites: ids as text (some unreadable) in one, times for dates in another, a column more or less."""
+    rows = S.checkups(t)
+    site = {name: rows.where(F.col("namespace") == name) for name in ("africa", "asia", "europe")}
+    patient = F.col("patient_id")
+    site["asia"] = site["asia"].withColumn("patient_id", F.when(patient % 7 == 0, S.joined("P-", patient)).otherwise(S.text(patient)))
+    site["europe"] = site["europe"].drop("department_name").withColumns(
+        {"checkup_date": F.col("checkup_date").cast("timestamp"), "patient_id": patient.cast("int"), "ward": F.lit("w1")}
+    )
+    union = federate.union_sites(site)
+    return union.select("checkup_id", "namespace", "department_name", "patient_id", "ward", "unfit", F.col("checkup_date").cast("string"))
+
+
 @query
 def federated_topk(t):
     columns = ("checkup_id", "department_name", "checkup_date")
@@ -782,6 +814,23 @@ def sql_views(t):
     )
 
 
+@query
+def sql_governed(t):
+    """Free SQL of one requestor with a bound parameter, over views that hold only the rows granted to them."""
+    asking = "q7"
+    own = browse.governed_session(
+        t.spark,
+        {"checkups": lambda spark: S.checkups(S.Tables(spark, t.folder))},
+        lambda spark: _usable_grants(S.Tables(spark, t.folder)).where(F.col("requestor_id") == asking),
+    )
+    return browse.governed_sql(
+        own,
+        "SELECT namespace, department_name, count(*) AS checkups, sum(checkup_id) AS id_sum FROM checkups"
+        " WHERE checkup_date >= :since GROUP BY namespace, department_name",
+        since="1996-01-01",
+    )
+
+
 @query
 def browse_tables(t):
     """Registered tables with their columns, the rows they hold and how many values are missing."""

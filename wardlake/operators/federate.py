@@ -17,6 +17,8 @@ from wardlake.operators.scope import check_dates, check_departments, effective_d
 PREVIEW_ROWS = 100
 # Rows a result brings to the driver unless told otherwise.
 RESULT_ROWS = 10_000
+# Whole numbers, narrow first.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
 @dataclass(frozen=True)
@@ -149,6 +151,52 @@ def read_branch(table: DataFrame, branch: Branch, columns: tuple[str, ...] = ())
     return rows.select(*columns) if columns else rows
 
 
+def common_type(kinds: set[str]) -> str:
+    """The type of a column over sites that give it ``kinds``.
+
+    Whole numbers widen to the widest, with fractions to double; a date among
+    times is a time; text gives way to the one other type there is. Anything else is text.
+    """
+    others = kinds - {"string"}
+    if len(others) <= 1:
+        return next(iter(others), "string")
+    if others <= set(WHOLE):
+        return max(others, key=WHOLE.index)
+    if all(k in (*WHOLE, "float", "double") or k.startswith("decimal") for k in others):
+        return "double"
+    return "timestamp" if others == {"date", "timestamp"} else "string"
+
+
+def union_sites(parts: Mapping[str, DataFrame], unfit: str = "unfit") -> DataFrame:
+    """UNION ALL over sites whose columns and types may differ.
+
+    A column that a site lacks is null there. A value that does not fit the
+    column's common type is null, and ``unfit`` says so (null where all fit): no row is lost to it.
+    """
+    kinds: dict[str, set[str]] = {}
+    for df in parts.values():
+        for name, kind in df.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    wanted = {name: common_type(found) for name, found in kinds.items()}
+
+    def fitted(site: str, df: DataFrame) -> DataFrame:
+        have, columns, reasons = dict(df.dtypes), [], []
+        for name, kind in wanted.items():
+            if name not in have:
+                columns.append(F.lit(None).cast(kind).alias(name))
+            elif have[name] == kind:
+                columns.append(F.col(f"`{name}`"))
+            else:
+                value, text = F.col(f"`{name}`").try_cast(kind), F.col(f"`{name}`").cast("string")
+                columns.append(value.alias(name))
+                lost = F.col(f"`{name}`").isNotNull() & value.isNull()
+                reasons.append(F.when(lost, F.concat(F.lit(f"{site}.{name} is no {kind}: "), text)))
+        reason = F.nullif(F.concat_ws("; ", *reasons), F.lit("")) if reasons else F.lit(None).cast("string")
+        return df.select(*columns, reason.alias(unfit))
+
+    return reduce(DataFrame.unionByName, [fitted(site, df) for site, df in parts.items()])
+
+
 def federate(
     branches: list[Branch],
     tables: Mapping[str, DataFrame],

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.functions.idents import check_name
+from wardlake.operators.scope import enforce
+from wardlake.session import prepare
 
 
 def list_schemas(spark: SparkSession) -> DataFrame:
@@ -50,6 +52,32 @@ def register(tables: Mapping[str, DataFrame]) -> None:
         df.createOrReplaceTempView(check_name(name, "table"))
 
 
+def governed_session(
+    spark: SparkSession,
+    tables: Mapping[str, Callable[[SparkSession], DataFrame]],
+    grants: Callable[[SparkSession], DataFrame],
+) -> SparkSession:
+    """A session whose only tables are ``tables``, each cut to the rows that ``grants`` cover.
+
+    Tables and grants are given as readers, so that they belong to the new session. It shares
+    no views with others, and files cannot be named in its SQL.
+    """
+    own = prepare(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.runSQLOnFiles", "false")
+    held = grants(own)
+    register({name: enforce(read(own), held) for name, read in tables.items()})
+    return own
+
+
+def governed_sql(session: SparkSession, query: str, **parameters) -> DataFrame:
+    """Free SQL in such a session; values come as ``:name`` parameters, never as text.
+
+    The text is taken as a subquery, so it can only read.
+    """
+    return session.sql(f"SELECT * FROM (\n{query}\n)", args=parameters)
+
+
 def as_json(df: DataFrame, name: str = "record") -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias(name))
 
