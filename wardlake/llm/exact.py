@@ -36,14 +36,14 @@ def _slot(hashed: Column) -> Column:
     return F.pmod(F.xxhash64(hashed), F.lit(SLOTS)) + 1
 
 
-def _repeating(hashes: DataFrame) -> DataFrame:
+def bitmap_of(hashes: DataFrame) -> DataFrame:
     """``bucket, bits``: at most ``SLOTS`` / 32,768 rows of 4 KB, a bit for each slot that ``hash`` takes."""
     return hashes.groupBy(F.bitmap_bucket_number(_slot(F.col("hash"))).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(_slot(F.col("hash")))).alias("bits")
     )
 
 
-def _among(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
+def among(rows: DataFrame, bitmap: DataFrame) -> DataFrame:
     """Rows whose ``hash`` has its bit set."""
     at = F.bitmap_bit_position(_slot(F.col("hash")))
     byte = F.conv(F.hex(F.substr(F.col("bits"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -86,8 +86,8 @@ def exact_groups(
     # Written, so that a tie between repeated rows is settled once.
     groups = scratch.keep("groups", rows.groupBy("hash").agg(*answer).where("group_size > 1"))
     hashes = texts.select(hashed(F.col("text")).alias("hash"), "text")
-    bitmap = scratch.keep("bitmap", _repeating(groups))
-    variants = _among(hashes, bitmap).groupBy("hash", "text").agg(F.count("*").alias("n"))
+    bitmap = scratch.keep("bitmap", bitmap_of(groups))
+    variants = among(hashes, bitmap).groupBy("hash", "text").agg(F.count("*").alias("n"))
     collided = scratch.keep("collided", variants.groupBy("hash").agg(F.count("*").alias("texts")).where("texts > 1").select("hash"))
     alone = [
         F.col("doc_id").alias("keep_id"),

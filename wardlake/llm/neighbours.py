@@ -8,6 +8,12 @@ shingles of two linked sets share ``l`` at least. Each document chooses its own
 pair is verified when it shares the smaller ``l`` of the two. Any order and any
 estimates give the same result.
 
+Before any text moves, a pair is tried on sketches: for each set a bit per
+shingle or so, the parity of its shingles there. Every bit in which two sketches
+differ stands for a shingle that one set has alone, which bounds the overlap from
+above; pairs that the bound rules out cannot link. Only texts of the others are
+exchanged (a bitmap of fixed size says which those may be).
+
 Equal sets are one node. Two rounds find the links that connect everything.
 First every member of a prefix shingle's bucket is compared with the bucket's
 hub, the member with most shared prefix shingles; that is linear, and joins a
@@ -37,15 +43,17 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import vec
 from wardlake.llm.components import components
-from wardlake.llm.scratch import Scratch, partitions
+from wardlake.llm.exact import among, bitmap_of
+from wardlake.llm.scratch import Scratch, partitions, small_batches, tidy
 
 WIDTH, PERCENT = 5, 80
 SLOTS = 1 << 21  # counters of the sketch: 16 MB whatever the input
 BLOCKS = 16
 MOST_MATCHES = 8  # largest l
 HOT = 4096  # estimated documents of a shingle from which it is not packed
-FLUSH = 4 << 20  # prefix entries packed at once
+FLUSH = 1 << 20  # prefix entries packed at once
 SMALL = 32  # members of a bucket that are paired without their hub
+STEP = 1 << 20  # bytes of texts that are compared at once
 
 
 def overlap(n: int) -> int:
@@ -74,11 +82,40 @@ def _add(batches: pa.Table) -> pa.Table:
 def sketch(documents: DataFrame) -> np.ndarray:
     """How many documents hold a shingle of each slot, over all documents; an upper estimate for each shingle."""
     schema = "block int, counts binary"
-    parts = documents.select("text").mapInArrow(_count, schema).groupBy("block").applyInArrow(_add, schema)
+    parts = documents.select("text").mapInArrow(tidy(_count), schema).groupBy("block").applyInArrow(_add, schema)
     out = np.zeros(SLOTS, np.int64)
     for row in parts.collect():  # BLOCKS rows
         out.reshape(BLOCKS, -1)[row["block"]] = np.frombuffer(row["counts"], np.int64)
-    return out
+    return out if out.max(initial=0) >= 1 << 32 else out.astype(np.uint32)
+
+
+# ------------------------------------------------------------------- sketches
+
+
+def parity(found: np.ndarray) -> bytes:
+    """A bit for each shingle or half of one: the parity of the shingles that fall on it."""
+    width = 1 << max(6, (len(found) - 1).bit_length())
+    bits = np.bincount(((found >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """How many shingles only one of two sets has, at least."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):  # a sketch folds into one of half its width
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link: not ruled out by size or sketch."""
+    for batch in batches:
+        n, m = (batch.column(c).to_numpy().astype(np.int64) for c in (2, 3))
+        far = np.array([apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
+        most = np.minimum((n + m - far) // 2, np.minimum(n, m))
+        yield batch.select([0, 1]).filter(pa.array(100 * most >= PERCENT * (n + m - most)))
 
 
 # ------------------------------------------------------------------- prefixes
@@ -90,7 +127,7 @@ def choose(found: np.ndarray, counts: np.ndarray, usual: float) -> tuple[np.ndar
     n, need = len(found), overlap(len(found))
     longest = min(MOST_MATCHES, need)
     order = np.argsort(estimate, kind="stable")[: n - need + longest]
-    others = np.maximum(estimate[order] - usual, 0)
+    others = np.maximum(estimate[order].astype(np.float64) - usual, 0)
     scanned, matches = np.cumsum(others), np.arange(1, longest + 1)
     ends = n - need + matches - 1
     cost = scanned[ends] + matches + n / 8 * scanned[ends] / matches
@@ -128,7 +165,7 @@ def _unpack(blob: bytes):
 
 
 NODE = pa.schema(
-    [("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("token", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())]
+    [("doc_id", pa.int64()), ("tie", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("l", pa.int32()), ("token", pa.int64()), ("part", pa.int32()), ("blob", pa.binary()), ("sketch", pa.binary())]
 )
 
 
@@ -150,14 +187,14 @@ def _signer(counts, parts: int):
         for batch in batches:
             ids, ties, (buf, off) = batch.column(0), batch.column(1), vec.utf8(batch.column(2))
             for low, high, b, o in vec.pieces(buf, off):
-                rows, hot = {"node": [], "n": [], "l": []}, {"node": [], "n": [], "l": [], "token": []}
+                rows, hot = {"node": [], "n": [], "l": [], "sketch": []}, {"node": [], "n": [], "l": [], "token": []}
                 for found in vec.shingles(b, o, WIDTH):
                     if not len(found):
-                        rows["node"].append(None), rows["n"].append(0), rows["l"].append(0)
+                        rows["node"].append(None), rows["n"].append(0), rows["l"].append(0), rows["sketch"].append(None)
                         continue
                     name = xxhash.xxh3_128_digest(found.tobytes())
                     chosen, estimate, ell = choose(found, table, usual)
-                    rows["node"].append(name), rows["n"].append(len(found)), rows["l"].append(ell)
+                    rows["node"].append(name), rows["n"].append(len(found)), rows["l"].append(ell), rows["sketch"].append(parity(found))
                     many = estimate >= HOT + usual
                     for token in chosen[many].view(np.int64).tolist():
                         hot["node"].append(name), hot["n"].append(len(found)), hot["l"].append(ell), hot["token"].append(token)
@@ -217,28 +254,36 @@ def _shared(pieces: pa.Table) -> pa.Table:
 PAIRS = "a binary, b binary, n_a int, n_b int, both int, outside array<long>"
 
 
-def _compare(counts):
-    """Sizes and overlap of each pair, and the rarest shingles of ``b`` outside ``a`` that a partner must share one of."""
+def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of some ``STEP`` bytes of texts, told from the frames' heads; a longer pair is taken alone."""
+    size = [sum(zstandard.get_frame_parameters(batch.column(c)[i].as_buffer()[:18]).content_size for c in (2, 3)) for i in range(len(batch))]
+    ends, lo = np.cumsum(size), 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _compare(counts, beyond: bool):
+    """Sizes and overlap of each pair and, if ``beyond``, the rarest shingles of ``b`` outside ``a`` that a partner must share one of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for batch in batches:
-            left, right = (vec.utf8(pa.array([zstandard.decompress(x) for x in batch.column(c).to_pylist()], pa.large_binary())) for c in (2, 3))
-            step = max(1, int((1 << 20) / max(1, (len(left[0]) + len(right[0])) / max(1, len(batch)))))
+        table = counts.value if beyond else None
+        for batch in (step for whole in batches for step in _steps(whole)):
             sizes, outside = [], []
-            for lo in range(0, len(batch), step):
-                hi = min(len(batch), lo + step)
-                sets = [vec.shingles(buf[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], WIDTH) for buf, off in (left, right)]
-                for x, y in zip(*sets, strict=True):
-                    rest = np.setdiff1d(y, x, assume_unique=True)
-                    both = len(y) - len(rest)
+            texts = (vec.utf8(pa.array([zstandard.decompress(x) for x in batch.column(c).to_pylist()], pa.large_binary())) for c in (2, 3))
+            for x, y in zip(*[vec.shingles(buf, off, WIDTH) for buf, off in texts], strict=True):
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                both = len(y) - len(rest)
+                sizes.append((len(x), len(y), both))
+                if beyond:
                     need = max(1, overlap(len(y)) - both)
                     order = np.argsort(table[rest & np.uint64(SLOTS - 1)], kind="stable")[: len(rest) - need + 1]
-                    sizes.append((len(x), len(y), both))
                     outside.append(rest[order].view(np.int64))
             numbers = np.array(sizes, np.int32).reshape(-1, 3)
+            more = pa.array(outside, pa.list_(pa.int64())) if beyond else pa.nulls(len(batch), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(numbers[:, j]) for j in range(3)), pa.array(outside, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), *(pa.array(numbers[:, j]) for j in range(3)), more],
                 ["a", "b", "n_a", "n_b", "both", "outside"],
             )
 
@@ -251,12 +296,22 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "tie", "text"])
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, counts) -> DataFrame:
-    """``pairs`` (``a, b``) with what `_compare` finds."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def _likely(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``pairs`` (``a, b``) that sizes and sketches do not rule out."""
+    left, right = (marks.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return both.where(_close("n_a", "n_b")).mapInArrow(_possible, "a binary, b binary")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, counts, scratch: Scratch, name: str, beyond: bool = False) -> DataFrame:
+    """``pairs`` (``a, b``) with what `_compare` finds; only texts that a pair may need are exchanged."""
+    pairs = scratch.keep(f"{name}-pairs", pairs)
+    bitmap = scratch.keep(f"{name}-bitmap", bitmap_of(pairs.select(F.col("a").alias("hash")).union(pairs.select("b"))))
+    asked = among(texts.withColumnRenamed("node", "hash"), bitmap)
+    left = asked.select(F.col("hash").alias("a"), F.col("text").alias("text_a"))
+    right = asked.select(F.col("hash").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_compare(counts), PAIRS)
+    return both.mapInArrow(tidy(_compare(counts, beyond)), PAIRS)
 
 
 SIMILAR = f"100 * both >= {PERCENT} * (n_a + n_b - both)"
@@ -270,6 +325,11 @@ def _close(a: str, b: str):
 
 
 def _joined(documents: DataFrame) -> DataFrame:
+    with small_batches(documents.sparkSession):
+        return _linked(documents)
+
+
+def _linked(documents: DataFrame) -> DataFrame:
     """``doc_id, tie, n, node, root, component`` of each row.
 
     ``tie`` is a hash of its text, ``node`` its set and ``root`` the first node
@@ -282,9 +342,9 @@ def _joined(documents: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(sketch(docs))
     signed = scratch.keep(
         "signed",
-        docs.mapInArrow(_signer(counts, parts), "doc_id long, tie long, node binary, n int, l int, token long, part int, blob binary"),
+        docs.mapInArrow(tidy(_signer(counts, parts)), "doc_id long, tie long, node binary, n int, l int, token long, part int, blob binary, sketch binary"),
     )
-    rows = scratch.keep("rows", signed.where("token IS NULL AND blob IS NULL").select("doc_id", "tie", "node", "n"))
+    rows = scratch.keep("rows", signed.where("token IS NULL AND blob IS NULL").select("doc_id", "tie", "node", "n", "sketch"))
     entry = "token long, node binary, n int, l int"
     packed = signed.where("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(_shared, entry)
     hot = signed.where("token IS NOT NULL").select("token", "node", "n", "l").distinct()
@@ -294,17 +354,16 @@ def _joined(documents: DataFrame) -> DataFrame:
     # One text stands for each node that shares a prefix shingle with another. An id
     # (null is one) does not name a text, as rows may repeat it; id and tie do.
     shared = entries.select("node").distinct()
-    counted = rows.join(shared, "node", "left_semi").groupBy("node", "doc_id", "tie").agg(F.count("*").alias("copies"))
-    first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies")).alias("first"))
-    chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies"))))
+    counted = rows.join(shared, "node", "left_semi").groupBy("node", "doc_id", "tie", "n", "sketch").agg(F.count("*").alias("copies"))
+    first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies", "n", "sketch")).alias("first"))
+    chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies")), "first.n", "first.sketch"))
+    marks = chosen.select("node", "n", "sketch")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("tie") == F.col("of_tie"))
-    small = docs.where("text IS NOT NULL").mapInArrow(_compress, "doc_id long, tie long, text binary")
-    stands = small.join(chosen, same).select("node", "text")
+    small = docs.where("text IS NOT NULL").mapInArrow(tidy(_compress), "doc_id long, tie long, text binary")
+    stands = small.join(chosen.select("node", "of_doc_id", "of_tie"), same).select("node", "text")
     if not chosen.where("of_copies > 1").isEmpty():  # else no text comes twice
         stands = stands.dropDuplicates(["node"])
     texts = scratch.keep("texts", stands)
-    scratch.drop("chosen")
-    spark.sparkContext._jvm.System.gc()  # the cleaner removes files of shuffles that nothing reads any more
 
     degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     first = entries.join(degree, "node").groupBy("token").agg(
@@ -313,7 +372,7 @@ def _joined(documents: DataFrame) -> DataFrame:
     hubs = first.select("token", "members", F.col("first.node").alias("hub"))
     hubbed = scratch.keep("hubbed", entries.join(hubs, "token"))
     pairs = hubbed.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    checked = scratch.keep("checked", _compared(pairs, texts, counts))
+    checked = scratch.keep("checked", _compared(_likely(pairs, marks), texts, counts, scratch, "hub").drop("outside"))
     scratch.drop("entries")
     roots = scratch.keep("roots-1", components(checked.where(SIMILAR).select("a", "b"), scratch))
 
@@ -333,9 +392,11 @@ def _joined(documents: DataFrame) -> DataFrame:
         )
 
     few = across(open_.where(F.col("members") <= SMALL), "token").groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("l").alias("l"))
-    # Larger buckets: overlaps with the hub are known.
+    # Larger buckets that are still open: here overlaps with the hub are needed, of all members.
     large = open_.where(F.col("members") > SMALL)
-    known = checked.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "outside")
+    asked = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    known = scratch.keep("known", _compared(asked, texts, counts, scratch, "large", beyond=True))
+    known = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "outside")
     held = scratch.keep("held", large.where("node = hub").select("token", "node", "n", "l", "root", "main", "hub", F.col("n").alias("both")).unionByName(
         large.join(known.drop("outside"), ["hub", "node"]).select("token", "node", "n", "l", "root", "main", "hub", "both")
     ))
@@ -352,9 +413,10 @@ def _joined(documents: DataFrame) -> DataFrame:
     outside = across(place.drop("main").join(again, "place"), "place")
     candidates = few.where("matches >= l").select("a", "b").union(inside.select("a", "b")).union(outside.select("a", "b")).distinct()
     done = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _compared(candidates.join(done, ["a", "b"], "left_anti"), texts, counts).where(SIMILAR).select("a", "b")
+    untried = _likely(candidates.join(done, ["a", "b"], "left_anti"), marks)
+    more = _compared(untried, texts, counts, scratch, "rest").where(SIMILAR).select("a", "b")
     more = scratch.keep("links-2", more)
-    scratch.drop("texts", "checked", "open", "held", "place")
+    scratch.drop("texts", "chosen", "checked", "open", "known", "held", "place")
     if not more.isEmpty():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
         roots = scratch.keep("roots-2", components(joined, scratch))
