@@ -370,29 +370,42 @@ MERGED = "doc_id long, text_hash long, spans binary, window binary, start long,
 MERGED_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("spans", pa.binary()), ("window", pa.binary()), ("start", pa.int64()), ("copies", pa.int32())])
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix, at most ``LENGTH``."""
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, LENGTH) != np.frombuffer(b, np.uint8, LENGTH))
+    return int(differ[0]) if len(differ) else LENGTH
+
+
 def _merged(splitters):
+    """Settles the windows of one range.
+
+    Equal windows follow the same right part, and suffixes with a common prefix
+    are neighbours but for a splitter between them. So a window may have an equal in
+    another range only if its right part is that of a splitter beside this range; of
+    those, one row for each different window tells the other ranges that it is here.
+    """
+
     def run(key: tuple, pieces: pa.Table) -> pa.Table:
         part, bounds = key[0].as_py(), splitters.value
-        open_ = {bounds[i][:GRAM] for i in (part - 1, part) if 0 <= i < len(bounds)}
+        beside = [bounds[i] for i in (part - 1, part) if 0 <= i < len(bounds)]
+        grams = {x[:GRAM] for x in beside}
         runs = [_entries(x.as_py()) for x in pieces["blob"]]
-        prefixes, source, place, closed, keys = [], [], [], [], []
+        prefixes, source, place, keys = [], [], [], []
         for suffix, known, at, where in merge([(r[0], r[1]) for r in runs]):
             prefixes.append(known), source.append(at), place.append(where)
-            closed.append(suffix[:GRAM] not in open_)
-            keys.append(suffix if not closed[-1] else None)
+            keys.append(suffix if suffix[:GRAM] in grams else None)
         base = np.cumsum([0, *(len(r[0]) for r in runs)])
         flat = base[np.array(source, np.int64)] + np.array(place, np.int64)
         lo, hi, many, ids, null, hashes, pos = (np.concatenate([r[3][i] for r in runs])[flat] for i in range(7))
         lo, hi = lo.astype(np.int64), hi.astype(np.int64)
         lefts = [runs[a][2][b] for a, b in zip(source, place, strict=True)]
-        prefixes, closed = np.array(prefixes, np.int64), np.array(closed)
+        prefixes = np.array(prefixes, np.int64)
         prefixes[0] = 0
 
-        inside = np.flatnonzero(closed)
         shared = prefixes >= GRAM
         near = shared.copy()
         near[:-1] |= shared[1:]
-        inside = inside[near[inside]]  # alone with its gram: nothing to compare
+        inside = np.flatnonzero(near)  # others are alone with their gram: nothing to compare
         windows = equal_windows(prefixes[inside], [lefts[i] for i in inside.tolist()], lo[inside], hi[inside], many[inside])
         windows &= ~many[inside][:, None]  # their spans are out already
         entry, start, end = _spans(windows, pos[inside])
@@ -402,23 +415,26 @@ def _merged(splitters):
             n = len(found)
             columns = [found["doc_id"].combine_chunks(), found["text_hash"].combine_chunks(), found["blob"].combine_chunks()]
             out.append(pa.Table.from_arrays([*columns, *(pa.nulls(n, f.type) for f in list(MERGED_SCHEMA)[3:])], schema=MERGED_SCHEMA))
-        rows = {"i": [], "window": [], "start": []}
-        for i in np.flatnonzero(~closed).tolist():
-            left, right = lefts[i][::-1], keys[i]
-            for s in range(lo[i], hi[i] + 1):
-                rows["i"].append(i), rows["start"].append(pos[i] - s)
-                rows["window"].append(xxhash.xxh3_128_digest(left[len(left) - s :] + right[: LENGTH - s]))
-        if rows["i"]:
-            at = np.array(rows["i"])
+        told: dict[bytes, list] = {}  # different windows that another range may hold: copies here, and the first
+        for i, right in enumerate(keys):
+            if right is None:
+                continue
+            left, reach = lefts[i][::-1], max(_common(right, x) for x in beside)
+            for s in range(max(int(lo[i]), LENGTH - reach), int(hi[i]) + 1):
+                seen = told.setdefault(xxhash.xxh3_128_digest(left[len(left) - s :] + right[: LENGTH - s]), [0, i, int(pos[i]) - s])
+                seen[0] += 2 if many[i] else 1
+        if told:
+            copies, at, begin = (np.array(x) for x in zip(*told.values(), strict=True))
+            settled = copies > 1  # their spans are out: only the window itself counts elsewhere
             out.append(
                 pa.Table.from_arrays(
                     [
-                        pa.array(ids[at], pa.int64(), mask=null[at]),
+                        pa.array(ids[at], pa.int64(), mask=null[at] | settled),
                         pa.array(hashes[at], pa.int64()),
                         pa.nulls(len(at), pa.binary()),
-                        pa.array(rows["window"], pa.binary()),
-                        pa.array(rows["start"], pa.int64()),
-                        pa.array(np.where(many[at], 2, 1), pa.int32()),
+                        pa.array(list(told), pa.binary()),
+                        pa.array(begin, pa.int64(), mask=settled),
+                        pa.array(np.minimum(copies, 2), pa.int32()),
                     ],
                     schema=MERGED_SCHEMA,
                 )
@@ -479,7 +495,7 @@ def _joined(documents: DataFrame) -> DataFrame:
 
     windows = merged.where("window IS NOT NULL")
     twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")
-    across = windows.join(twice, "window").select("doc_id", "text_hash", "start")
+    across = windows.where("start IS NOT NULL").join(twice, "window").select("doc_id", "text_hash", "start")
     spans = (
         runs.where("spans IS NOT NULL").select("doc_id", "text_hash", "spans")
         .union(merged.where("spans IS NOT NULL").select("doc_id", "text_hash", "spans"))
