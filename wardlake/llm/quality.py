@@ -9,7 +9,12 @@ important as its least target-like n-grams allow, and ordinary n-grams, however
 many, make up for nothing. Its logarithm is divided by the root of the length,
 with which the chance part of such a sum grows. All documents are then drawn
 from without replacement, by Gumbel top-k on their log importance. ``k`` is the
-number of documents whose importance passes a cut set on labelled documents.
+number of documents whose importance passes a cut.
+
+The cut is set on the labelled documents of both classes. Each is scored by the models
+without its own n-grams, so none speaks for itself: of the cuts that let go at
+most ``ALLOWED`` of the good, that which stops most of the others, and of equal
+ones the lowest.
 """
 
 from __future__ import annotations
@@ -28,13 +33,13 @@ from wardlake.llm.shard import prefix_sums
 
 SLOTS = 1 << 21  # of each model, whatever the input
 BLOCKS = 32
-PRIOR = 5.0  # occurrences that both models agree on before any is counted
+PRIOR = 2.0  # occurrences that both models agree on before any is counted
 IGNORED = 1.0  # log ratios above minus this are ordinary
 USUAL = 1000  # bytes at which log importance is taken as it is
 SHORT = 200  # bytes below which a text counts as this long
 SHARPNESS = 4.0  # of the draw: log importance against the Gumbel noise
 LABELLED = 100_000  # most labelled documents the target and the cut are learned from
-ALLOWED = 0.001  # share of labelled good documents the cut may lose
+ALLOWED = 0.005  # share of labelled good documents the cut may lose
 
 
 def ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,13 +94,26 @@ def bag(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def _evidence(target, raw, share: float, usual: float):
+    """Log ratio of the models where they saw an n-gram so often; ordinary ones are 0, and none is positive."""
+    found = np.log((target + PRIOR) / (raw * share + PRIOR)) - usual
+    return np.where(found < -IGNORED, found, 0.0)
+
+
+def levels(target: np.ndarray, raw: np.ndarray) -> tuple[float, float]:
+    """Size of the target to that of the raw text, and the log ratio that is usual in the target."""
+    share = target.sum() / max(1, raw.sum())
+    found = np.log((target + PRIOR) / (raw * share + PRIOR))
+    return float(share), float(np.average(found, weights=target)) if target.sum() else 0.0
+
+
 def ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Log ratio of the models at each slot; ordinary slots are 0, and none is positive."""
-    expected = raw * (target.sum() / max(1, raw.sum()))
-    found = np.log((target + PRIOR) / (expected + PRIOR)).astype(np.float32)
-    usual = float(np.average(found, weights=target)) if target.sum() else 0.0
-    found -= np.float32(usual)
-    return np.where(found < -IGNORED, found, np.float32(0))
+    """The evidence of each slot."""
+    return _evidence(target, raw, *levels(target, raw)).astype(np.float32)
+
+
+def _scaled(score: np.ndarray, off: np.ndarray) -> np.ndarray:
+    return score / np.sqrt(np.maximum(np.diff(off), SHORT) / USUAL)
 
 
 def importance(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -104,7 +122,28 @@ def importance(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarra
     for low, high, b, o in vec.pieces(buf, off):
         slot, row = ngrams(b, o)
         out[low:high] = np.bincount(row, weights=table[slot], minlength=high - low)
-    return out / np.sqrt(np.maximum(np.diff(off), SHORT) / USUAL)
+    return _scaled(out, off)
+
+
+def importance_without(buf: np.ndarray, off: np.ndarray, good: np.ndarray, target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log importance of labelled rows, each by the models without its own n-grams."""
+    out, known = np.zeros(len(off) - 1), levels(target, raw)
+    for low, high, b, o in vec.pieces(buf, off):
+        slot, row = ngrams(b, o)
+        both, n = np.unique(row.astype(np.int64) * SLOTS + slot, return_counts=True)
+        row, slot = np.divmod(both, SLOTS)
+        found = _evidence(target[slot] - n * good[low:high][row], raw[slot] - n, *known)
+        out[low:high] = np.bincount(row, weights=found * n, minlength=high - low)
+    return _scaled(out, off)
+
+
+def best_cut(good: np.ndarray, others: np.ndarray) -> float:
+    """The score below which at most ``ALLOWED`` of the good lie (one at least may) and most of the others; the lowest such."""
+    if not len(good):
+        return float("-inf")
+    first = np.sort(good)[: int(np.ceil(ALLOWED * len(good))) + 1]
+    stopped = np.searchsorted(np.sort(others), first, side="left")
+    return float(first[int(np.argmax(stopped))])
 
 
 def gumbel(ids: np.ndarray, ties: np.ndarray, seed: int) -> np.ndarray:
@@ -125,6 +164,16 @@ def _keys(table, seed: int):
     return run
 
 
+def _left_out(models):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = batch.column("good").to_numpy(zero_copy_only=False).astype(bool)
+            score = importance_without(*vec.utf8(batch.column("text")), good, *models.value)
+            yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(score)], ["good", "score"])
+
+    return run
+
+
 class Classifier:
     """Learned once from a bounded number of labelled documents."""
 
@@ -138,10 +187,10 @@ class Classifier:
         sample = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of_doc"))
         scratch = Scratch(self.spark)
         sample = scratch.keep("labelled", sample.select("doc_id", "text", "good"))
-        self.table = self.spark.sparkContext.broadcast(ratios(bag(sample.where("good")), bag(sample)))  # SLOTS numbers
-        scored = self.keys(sample.where("good"))
-        cut = scored.agg(F.percentile_approx("score", F.lit(ALLOWED), F.lit(100_000))).first()[0]
-        self.cut = float("-inf") if cut is None else float(cut) - 1e-9
+        target, raw = bag(sample.where("good")), bag(sample)
+        self.table = self.spark.sparkContext.broadcast(ratios(target, raw))  # SLOTS numbers
+        scored = sample.mapInArrow(_left_out(self.spark.sparkContext.broadcast((target, raw))), "good boolean, score double").collect()  # at most ``most``
+        self.cut = best_cut(*(np.array([r["score"] for r in scored if r["good"] is kind]) for kind in (True, False))) - 1e-9
         scratch.drop("labelled")
 
     def keys(self, documents: DataFrame) -> DataFrame:
