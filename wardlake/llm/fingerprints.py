@@ -166,13 +166,16 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
 
     The order is that of ``doc_id``, null first, then of a hash of the text. The
     table's last row is followed by its first. The text is exchanged once; of the
-    ids, only those at the ends of ranges reach the driver.
+    ids, only those at the ends of ranges reach the driver. Ranges are cut by id and
+    hash, so rows without an id, or under one id, spread over as many ranges as they fill.
     """
     text = F.coalesce("text", F.lit(""))
-    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
+    lowest = documents.agg(F.min("doc_id")).first()[0] or 0
+    # Grows with id and hash, if not always strictly: rows of one number share a range.
+    share = F.xxhash64(text).cast("double") / 2.0**64 + 0.5
+    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(float(lowest) - 1)) + share
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"), number.alias("number"))
-    known = documents.select(F.col("doc_id").cast("double").alias("number")).where("number IS NOT NULL")
-    cuts = known.approxQuantile("number", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
+    cuts = documents.select(number.alias("number")).approxQuantile("number", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     splits = splits if len(splits) > 2 else [float("-inf"), 0.0, float("inf")]
     rows = Bucketizer(splits=splits, inputCol="number", outputCol="range").transform(rows).drop("number")
@@ -183,7 +186,7 @@ def with_next(documents: DataFrame, ranges: int) -> DataFrame:
     ends = documents.sparkSession.createDataFrame(ends, schema)
     guards = rows.join(F.broadcast(ends), F.expr("doc_id <=> id AND tie = hash")).select("doc_id", "text", "tie", F.col("before").alias("range"), F.lit(True).alias("guard"))
     dealt = rows.select("doc_id", "text", "tie", "range", F.lit(False).alias("guard")).union(guards)
-    return dealt.repartition(ranges, "range").sortWithinPartitions("range", "guard", F.asc_nulls_first("doc_id"), "tie")
+    return dealt.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range", "guard", F.asc_nulls_first("doc_id"), "tie")
 
 
 SCHEMA = "doc_id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
