@@ -83,7 +83,28 @@ def op2_chat_formatting(spark, folder):
     )
 
 
-@query("op7_sharding")
+#: CRC-32 of the UTF-8 bytes by a table of 256 remainders made from the rule, then prefix sums and equal cuts.
+SHARD_SQL = """
+WITH entries AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)) ORDER BY i) AS entry
+  FROM range(256) AS t(i)),
+spelled AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+    [4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: ('0x' || b)::BIGINT) AS bytes
+  FROM documents),
+summed AS (
+  SELECT doc_id, size::BIGINT AS size,
+    xor(list_reduce(bytes, lambda c, b: xor(entry[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM spelled, entries),
+placed AS (
+  SELECT *, sum(size) OVER o - size AS before, sum(size) OVER () AS total, row_number() OVER o AS n
+  FROM summed WINDOW o AS (ORDER BY text_crc32, size, doc_id ROWS UNBOUNDED PRECEDING)),
+cut AS (SELECT *, least((before * 2 + size) * 40 // (total * 2), 39)::INTEGER AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, n - min(n) OVER (PARTITION BY shard) AS slot, NULL::INTEGER AS grown_shard FROM cut
+"""
+
+
+@query("op7_sharding", SHARD_SQL)
 def op7_sharding(spark, folder):
     return shard.shards(table(spark, folder, "documents"), 40).select(
         "doc_id",
@@ -119,12 +140,51 @@ def op10_decontamination(spark, folder):
     return decontaminate.contained_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
-@query("op6_jaccard_join")
+#: All pairs that share a shingle, their overlap, and all that links can reach.
+LINK_SQL = f"""
+WITH RECURSIVE d AS ({SHINGLE_LISTS.format(key="doc_id", table="documents")}),
+held AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
+pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM held AS x JOIN held AS y ON x.g = y.g AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM d
+  UNION SELECT r.doc_id, l.b FROM reach AS r JOIN links AS l ON l.a = r.other)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(other) FROM reach AS r WHERE r.doc_id = d.doc_id) AS component_id FROM d
+"""
+
+
+@query("op6_jaccard_join", LINK_SQL)
 def op6_jaccard_join(spark, folder):
     return neighbours.near_duplicates(table(spark, folder, "documents"))
 
 
-@query("op9_repeated_text")
+#: Every 200-byte string (by its hash), the runs that repeated ones cover, and what stands between them.
+REPEAT_SQL = """
+WITH spelled AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+  SELECT doc_id, i, hash(substr(h, 2 * i + 1, 400)) AS string
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM spelled)),
+again AS (SELECT doc_id, i FROM strings WHERE string IN (SELECT string FROM strings GROUP BY string HAVING count(*) > 1)),
+edges AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true)::INTEGER AS fresh FROM again),
+runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + 200 AS e FROM (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges) GROUP BY doc_id, run),
+between_runs AS (
+  SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM runs),
+cut AS (
+  SELECT doc_id, sum(e - s)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS last,
+    string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS kept
+  FROM between_runs JOIN spelled USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM spelled LEFT JOIN cut USING (doc_id)
+"""
+
+
+@query("op9_repeated_text", REPEAT_SQL)
 def op9_repeated_text(spark, folder):
     cleaned = repeats.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["start"])

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import bpe, pretok, vec
 from wardlake.llm.lexicon import Lexicon, compile_lexicon
-from wardlake.llm.scratch import Scratch
+from wardlake.llm.scratch import Scratch, tidy
 from wardlake.session import scratch_path
 
 WORDS = 1 << 16  # words in the lexicon
@@ -96,7 +96,7 @@ def frequent_words(documents: DataFrame, path: str, most: int = WORDS) -> list[b
     more, so no list of candidates per task is needed.
     """
     scratch = Scratch(documents.sparkSession)
-    counted = documents.select("text").mapInArrow(_counter(path), "word binary, n long")
+    counted = documents.select("text").mapInArrow(tidy(_counter(path)), "word binary, n long")
     step = F.floor(F.log2(F.sum("n")) * 16).alias("step")
     words = scratch.keep("words", counted.groupBy("word").agg(step))
     taken, last = 0, None
@@ -218,7 +218,7 @@ def encode(documents: DataFrame, path: str, most: int = WORDS) -> DataFrame:
     """
     name = publish_lexicon(documents.sparkSession, frequent_words(documents, path, most), path)
     rows = documents.select(F.struct("*").alias("row"))
-    return rows.mapInArrow(_encode(path, name), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
+    return rows.mapInArrow(tidy(_encode(path, name)), f"row {rows.schema['row'].dataType.simpleString()}, ids array<int>")
 
 
 def _decode(path: str):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import vec
 from wardlake.llm.packed import pack, ranges, unpack
-from wardlake.llm.scratch import Scratch, partitions
+from wardlake.llm.scratch import Scratch, partitions, small_batches, tidy
 
 CHUNK = 8 << 20  # bytes of text that ask together
 END, START = np.uint64(0x5EED_0E2D_0000_0001), np.uint64(0x5EED_57A2_0000_0002)
@@ -196,6 +196,7 @@ def _held_out(total: int, distinct: int):
                 ).astype(np.int64)
                 names, n = np.unique(cell, axis=0, return_counts=True) if len(cell) else (cell, np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([*(pa.array(names[:, j]) for j in range(3)), pa.array(n)], ["bucket", "r2", "r1", "n"])
+                del chunk, own, pair, context, word, p2, p1, p0, cell  # before the next one is read
 
     return run
 
@@ -246,6 +247,7 @@ def _score(weights: np.ndarray, total: int, distinct: int):
                     ],
                     ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+                del chunk, pair, context, word, p2, p1, p0, w, p, base, add  # before the next one is read
 
     return run
 
@@ -264,15 +266,23 @@ def score(documents: DataFrame, training) -> DataFrame:
     spark = documents.sparkSession
     scratch, parts = Scratch(spark), partitions(spark)
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("t"), "text")
-    heads = scratch.keep("chunks", rows.mapInArrow(_chunks, HEADS))
-    asks = heads.mapInArrow(_ask(parts), ASKS)
+    with small_batches(spark):
+        heads = scratch.keep("chunks", rows.mapInArrow(tidy(_chunks), HEADS))
+    with small_batches(spark, 1):  # a row is a chunk
+        return _scored(heads, scratch, parts)
+
+
+def _scored(heads: DataFrame, scratch: Scratch, parts: int) -> DataFrame:
+    asks = heads.mapInArrow(tidy(_ask(parts)), ASKS)
     answers = scratch.keep("answers", asks.groupBy("part", "kind").applyInArrow(_answer, ANSWERS))
     sums = answers.where("kind = 0").agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = (int(x or 0) for x in sums)
     by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "part", "counts")).alias("answers"))
     chunks = scratch.keep("counted", heads.join(by_chunk, "chunk").select("ids", "texts", "answers"))
     scratch.drop("chunks", "answers")
-    cells = chunks.mapInArrow(_held_out(total, distinct), "bucket long, r2 long, r1 long, n long")
+    cells = chunks.mapInArrow(tidy(_held_out(total, distinct)), "bucket long, r2 long, r1 long, n long")
     held = cells.groupBy("bucket", "r2", "r1").agg(F.sum("n").alias("n"))  # a bounded grid
     weights = maximise([tuple(r) for r in held.collect()])
-    return chunks.mapInArrow(_score(weights, total, distinct), SCORES)
+    scores = scratch.keep("scores", chunks.mapInArrow(tidy(_score(weights, total, distinct)), SCORES))
+    scratch.drop("counted")
+    return scores

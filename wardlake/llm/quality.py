@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.llm import vec
-from wardlake.llm.scratch import Scratch
+from wardlake.llm.scratch import Scratch, tidy
 from wardlake.llm.shard import prefix_sums
 
 SLOTS = 1 << 21  # of each model, whatever the input
@@ -89,7 +89,7 @@ def bag(texts: DataFrame) -> np.ndarray:
     """Occurrences of each slot in all ``text``."""
     schema = "block int, counts binary"
     out = np.zeros(SLOTS, np.int64)
-    for row in texts.select("text").mapInArrow(_bag, schema).groupBy("block").applyInArrow(_sum, schema).collect():  # BLOCKS rows
+    for row in texts.select("text").mapInArrow(tidy(_bag), schema).groupBy("block").applyInArrow(_sum, schema).collect():  # BLOCKS rows
         out.reshape(BLOCKS, -1)[row["block"]] = np.frombuffer(row["counts"], np.int64)
     return out
 
@@ -189,14 +189,14 @@ class Classifier:
         sample = scratch.keep("labelled", sample.select("doc_id", "text", "good"))
         target, raw = bag(sample.where("good")), bag(sample)
         self.table = self.spark.sparkContext.broadcast(ratios(target, raw))  # SLOTS numbers
-        scored = sample.mapInArrow(_left_out(self.spark.sparkContext.broadcast((target, raw))), "good boolean, score double").collect()  # at most ``most``
+        scored = sample.mapInArrow(tidy(_left_out(self.spark.sparkContext.broadcast((target, raw)))), "good boolean, score double").collect()  # at most ``most``
         self.cut = best_cut(*(np.array([r["score"] for r in scored if r["good"] is kind]) for kind in (True, False))) - 1e-9
         scratch.drop("labelled")
 
     def keys(self, documents: DataFrame) -> DataFrame:
         """``doc_id, score, key``: log importance, and that with the row's noise."""
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-        return rows.mapInArrow(_keys(self.table, self.seed), "doc_id long, score double, key double")
+        return rows.mapInArrow(tidy(_keys(self.table, self.seed)), "doc_id long, score double, key double")
 
     def drawn(self, documents: DataFrame, k: int | None = None) -> tuple[DataFrame, float]:
         """Keys of all rows, and the least key of the ``k`` drawn (all that pass the cut, if none is given)."""
@@ -241,4 +241,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, k: int | None = None, mos
             noise = gumbel(row.field("doc_id").cast(pa.int64()).fill_null(0).to_numpy(), batch.column(1).to_numpy(), seed)
             yield pa.RecordBatch.from_arrays([row.filter(pa.array(SHARPNESS * score + noise >= last))], ["row"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")
+    return rows.mapInArrow(tidy(run), f"row {rows.schema['row'].dataType.simpleString()}").select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import vec
 from wardlake.llm.packed import pack, ranges, unpack
-from wardlake.llm.scratch import Scratch, partitions
+from wardlake.llm.scratch import Scratch, partitions, tidy
 
 LENGTH = 200
 GRAM = 100
@@ -477,12 +477,12 @@ def _joined(documents: DataFrame) -> DataFrame:
     key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash")]
     docs = documents.select(*key, text.alias("text"))
 
-    gathered = docs.mapInArrow(_gather(parts), f"part int, {KEY}, blob binary")
+    gathered = docs.mapInArrow(tidy(_gather(parts)), f"part int, {KEY}, blob binary")
     repeated = gathered.groupBy("part").applyInArrow(_repeated, f"{KEY}, blob binary")
     by_doc = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("blob").alias("anchors"))
     same = "d.doc_id <=> a.doc_id AND d.text_hash = a.text_hash"
     marked = docs.alias("d").join(by_doc.alias("a"), F.expr(same))
-    runs = scratch.keep("runs", marked.select("d.doc_id", "d.text_hash", "d.text", "a.anchors").mapInArrow(_runs, RUNS))
+    runs = scratch.keep("runs", marked.select("d.doc_id", "d.text_hash", "d.text", "a.anchors").mapInArrow(tidy(_runs), RUNS))
 
     offered = runs.select(F.explode("sample").alias("key"))
     n = runs.agg(F.sum(F.size("sample"))).first()[0] or 0
@@ -490,7 +490,7 @@ def _joined(documents: DataFrame) -> DataFrame:
     keys = sorted(bytes(r[0]) for r in offered.where(F.expr(f"pmod(xxhash64(key), {thin}) = 0")).collect())
     chosen = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     splitters = spark.sparkContext.broadcast(chosen)
-    pieces = runs.where("run IS NOT NULL").select("run").mapInArrow(_cut(splitters), "part int, blob binary")
+    pieces = runs.where("run IS NOT NULL").select("run").mapInArrow(tidy(_cut(splitters)), "part int, blob binary")
     merged = scratch.keep("merged", pieces.groupBy("part").applyInArrow(_merged(splitters), MERGED))
 
     windows = merged.where("window IS NOT NULL")
@@ -517,7 +517,7 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     """
     joined = _joined(documents)
     schema = f"row {joined.schema['row'].dataType.simpleString()}, kept binary, spans array<struct<start:bigint,end:bigint>>"
-    return joined.mapInArrow(_apply, schema)
+    return joined.mapInArrow(tidy(_apply), schema)
 
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -535,7 +535,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_repeats(documents: DataFrame) -> DataFrame:
     """``documents`` with the repeated parts cut out of ``text`` (and ``n_chars``, if there, counted anew)."""
     joined = _joined(documents)
-    return joined.mapInArrow(_rewrite, f"row {joined.schema['row'].dataType.simpleString()}").select("row.*")
+    return joined.mapInArrow(tidy(_rewrite), f"row {joined.schema['row'].dataType.simpleString()}").select("row.*")
 
 
 def _as_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
