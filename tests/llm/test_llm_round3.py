@@ -19,7 +19,7 @@ from wardlake.llm import encode, exact, fingerprints, lm, neighbours, quality, r
 from wardlake.llm.catalogue import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op12_conversation_repair", "op13_exact_dedup"])
+@pytest.mark.parametrize("name", ["op6_jaccard_join", "op7_sharding", "op9_repeated_text", "op12_conversation_repair", "op13_exact_dedup"])
 def test_same_as_sql(spark, folder, name):
     columns, rows = rows_of_spark(QUERIES[name](spark, folder))
     wanted_columns, wanted = rows_of_sql(connect(folder), ORACLES[name])
