@@ -518,7 +518,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""",
     "sql_governed": f"""WITH {CHECKUPS}, {GRANTS}
 SELECT namespace, department_name, count(*) AS checkups, CAST(sum(checkup_id) AS BIGINT) AS id_sum FROM checkups c
 WHERE checkup_date >= DATE '1996-01-01' AND EXISTS (
-  SELECT 1 FROM usable u WHERE u.requestor_id = 'q7' AND u.namespace = c.namespace AND list_contains(u.departments, c.department_name)
+  SELECT 1 FROM usable u WHERE u.requestor_id = 'q4' AND u.namespace = c.namespace AND list_contains(u.departments, c.department_name)
   AND (u.date_start IS NULL OR c.checkup_date >= u.date_start) AND (u.date_end IS NULL OR c.checkup_date <= u.date_end))
 GROUP BY namespace, department_name""",
     "browse_tables": " UNION ALL ".join(

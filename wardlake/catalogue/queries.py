@@ -817,7 +817,7 @@ def sql_views(t):
 @query
 def sql_governed(t):
     """Free SQL of one requestor with a bound parameter, over views that hold only the rows granted to them."""
-    asking = "q7"
+    asking = "q4"
     own = browse.governed_session(
         t.spark,
         {"checkups": lambda spark: S.checkups(S.Tables(spark, t.folder))},
