@@ -30,3 +30,15 @@ def test_local_session_has_a_shared_folder_where_none_is_set(tmp_path):
     )
     out = run(code, SPARK_CONF_DIR=str(tmp_path), TMPDIR=str(tmp_path)).strip().splitlines()[-1]
     assert out.startswith("3 ") and str(tmp_path) in out
+
+
+def test_a_session_of_others_without_a_shared_folder(tmp_path):
+    code = (
+        "from pyspark.sql import SparkSession\n"
+        "from wardlake.session import scratch_path, written\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert scratch_path(spark, 'a').rsplit('/', 1)[0] == scratch_path(spark, 'b').rsplit('/', 1)[0]\n"
+        "print(written(spark.range(3), 'x').count(), scratch_path(spark, 'x'))"
+    )
+    out = run(code, SPARK_CONF_DIR=str(tmp_path), TMPDIR=str(tmp_path)).strip().splitlines()[-1]
+    assert out.startswith("3 ") and str(tmp_path) in out

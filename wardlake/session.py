@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -62,11 +63,21 @@ def _preset(key: str) -> str | None:
     return next((p[1].strip() for p in pairs if len(p) == 2 and p[0] == key), None)
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="wardlake-")
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables, in the shared folder named by ``spark.checkpoint.dir``."""
+    """The folder for intermediate tables, in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may do without one and use a folder of this machine.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder all executors share")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir, when the session is built, to a folder all executors share")
+        base = _own_folder()
     return f"{base.rstrip('/')}/wardlake"
 
 
