@@ -16,8 +16,8 @@ exchanged (a bitmap of fixed size says which those may be).
 
 Equal sets are one node. Two rounds find the links that connect everything.
 First every member of a prefix shingle's bucket is compared with the bucket's
-hub, the member of least name, so that near copies mostly have one hub for all
-their shingles; that is linear, and joins a group of near copies at once. Then come pairs that are still in different
+hub, the member with most shared prefix shingles; that is linear, and joins a
+group of near copies at once. Then come pairs that are still in different
 components, as pairs already connected need no check: in a small bucket all of
 them, counted over shingles. In a larger one both have known overlaps with its
 hub ``h``, and ``|x & y| <= min(|x & h|, |y & h|) + |(x - h) & (y - h)|``. So a
@@ -220,7 +220,7 @@ def _rows(columns: dict) -> pa.RecordBatch:
 
 
 def _shared(pieces: pa.Table) -> pa.Table:
-    """Entries of the tokens that more than one node of the part has, each with its bucket's hub and size."""
+    """Entries of the tokens that more than one node of the part has."""
     tokens, index, names, sizes, ells, base = [], [], [], [], [], 0
     for blob in pieces["blob"]:
         t, i, name, n, ell = _unpack(blob.as_py())
@@ -238,18 +238,12 @@ def _shared(pieces: pa.Table) -> pa.Table:
     again[1:] = token[1:] == token[:-1]
     again[:-1] |= again[1:]
     token, node = token[again], node[again]
-    first_of = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
-    members = np.diff(first_of, append=len(token))
-    names = [x.tobytes() for x in own]
     return pa.table(
         {
             "token": pa.array(token.view(np.int64)),
-            "node": pa.array([names[i] for i in node.tolist()], pa.binary()),
+            "node": pa.array([x.tobytes() for x in own[node]], pa.binary()),
             "n": pa.array(sizes[first][node], pa.int32()),
             "l": pa.array(ells[first][node], pa.int32()),
-            "hub": pa.array([names[i] for i in np.repeat(node[first_of], members).tolist()], pa.binary()),
-            "hub_n": pa.array(sizes[first][np.repeat(node[first_of], members)], pa.int32()),
-            "members": pa.array(np.repeat(members, members), pa.int64()),
         }
     )
 
@@ -351,17 +345,15 @@ def _linked(documents: DataFrame) -> DataFrame:
         docs.mapInArrow(tidy(_signer(counts, parts)), "doc_id long, tie long, node binary, n int, l int, token long, part int, blob binary, sketch binary"),
     )
     rows = scratch.keep("rows", signed.where("token IS NULL AND blob IS NULL").select("doc_id", "tie", "node", "n", "sketch"))
-    entry = "token long, node binary, n int, l int, hub binary, hub_n int, members long"
+    entry = "token long, node binary, n int, l int"
     packed = signed.where("blob IS NOT NULL").select("part", "blob").groupBy("part").applyInArrow(_shared, entry)
     hot = signed.where("token IS NOT NULL").select("token", "node", "n", "l").distinct()
-    hubs = hot.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    hubs = hubs.select("token", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), "members")
-    hubbed = scratch.keep("hubbed", packed.union(hot.join(hubs, "token").select(packed.columns)))
+    entries = scratch.keep("entries", packed.union(hot))
     scratch.drop("signed")
 
     # One text stands for each node that shares a prefix shingle with another. An id
     # (null is one) does not name a text, as rows may repeat it; id and tie do.
-    shared = hubbed.select("node").distinct()
+    shared = entries.select("node").distinct()
     counted = rows.join(shared, "node", "left_semi").groupBy("node", "doc_id", "tie", "n", "sketch").agg(F.count("*").alias("copies"))
     first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies", "n", "sketch")).alias("first"))
     chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies")), "first.n", "first.sketch"))
@@ -373,8 +365,15 @@ def _linked(documents: DataFrame) -> DataFrame:
         stands = stands.dropDuplicates(["node"])
     texts = scratch.keep("texts", stands)
 
+    degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
+    first = entries.join(degree, "node").groupBy("token").agg(
+        F.max(F.struct("degree", "node", "n")).alias("first"), F.count("*").alias("members")
+    )
+    hubs = first.select("token", "members", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"))
+    hubbed = scratch.keep("hubbed", entries.join(hubs, "token"))
     pairs = hubbed.where("node <> hub").where(_close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     checked = scratch.keep("checked", _compared(_likely(pairs, marks), texts, counts, scratch, "hub").drop("outside"))
+    scratch.drop("entries")
     roots = scratch.keep("roots-1", components(checked.where(SIMILAR).select("a", "b"), scratch))
 
     named = hubbed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
