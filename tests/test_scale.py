@@ -1,0 +1,48 @@
+"""What must not move, or come again and again, as tables grow."""
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from wardlake.operators import scope
+
+SCHEMA = "checkup_id long, department_name string, checkup_date date, version int, note string"
+DAY = dt.date(2024, 1, 1)
+
+
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def newest():
+    return [F.col("version").desc(), F.col("note").desc()]
+
+
+def stored(spark, path, rows):
+    spark.createDataFrame(rows, SCHEMA).write.parquet(path)
+    return spark.read.schema(SCHEMA).parquet(path)
+
+
+def test_a_day_that_comes_often_costs_one_number(spark):
+    days = spark.range(3).select(
+        F.col("id").alias("k"), F.explode(F.expr("sequence(date'2023-12-31', date'2024-02-29')")).alias("day")
+    )
+    often = days.crossJoin(spark.range(20)).where("NOT (k = 2 AND day = date'2024-01-31')").drop("id")
+    patterns = scope.collapse_days(often, ["k"])
+    assert "collect_set" not in executed(patterns)
+    got = {k: [] for k in range(3)}
+    for row in patterns.collect():
+        got[row.k].append(row.pattern)
+    whole = ["2023-12-31", "2024-01-*", "2024-02-*"]
+    assert sorted(got[0]) == sorted(got[1]) == whole
+    assert sorted(got[2]) == sorted(["2023-12-31", "2024-02-*"] + [f"2024-01-{d:02d}" for d in range(1, 31)])
+    year = spark.sql("SELECT 1 AS k, explode(sequence(date'2024-01-01', date'2024-12-31')) AS day")
+    assert [r.pattern for r in scope.collapse_days(year, ["k"]).collect()] == ["2024-*"]
+
+
+def test_grants_of_one_file_are_expanded_by_many_tasks(spark):
+    grants = spark.sql("SELECT date'2024-01-01' AS date_start, date'2024-03-31' AS date_end").coalesce(1)
+    assert "REBALANCE" in executed(scope.expand_days(grants))
+    assert scope.expand_days(grants).count() == 91
+
+

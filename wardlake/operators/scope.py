@@ -57,9 +57,10 @@ def expand_days(grants: DataFrame, start: str = "date_start", end: str = "date_e
     """One row per granted day, both ends included.
 
     A grant that is open or reversed is one row without a day and with the
-    ``reason`` instead; fill an open end first where a last day is known.
+    ``reason`` instead; fill an open end first where a last day is known. Grants
+    are dealt evenly first: one file of them may hold years of days.
     """
-    with_reason = grants.withColumn("reason", range_problem(F.col(start), F.col(end)))
+    with_reason = grants.hint("rebalance").withColumn("reason", range_problem(F.col(start), F.col(end)))
     return with_reason.withColumn("day", F.explode_outer(days_between(F.col(start), F.col(end))))
 
 
@@ -95,28 +96,36 @@ def range_patterns(start: Column, end: Column) -> Column:
 def collapse_days(days: DataFrame, keys: list[str], day: str = "day") -> DataFrame:
     """The same patterns from any set of days (rows may repeat): ``keys, pattern``.
 
-    Days are gathered per key and year, so a group holds 366 values at most and
-    repeats are dropped before the shuffle. Rows without a day have no pattern.
+    The days of a month are the bits of one number per key, so a day costs the same however
+    often it comes, and a key and year is twelve numbers. Rows without a day have no pattern.
     """
-    by_year = days.where(F.col(day).isNotNull()).groupBy(*keys, F.year(day).alias("_year")).agg(
-        F.sort_array(F.collect_set(F.col(day))).alias("_days")
+    month = F.trunc(day, "month").alias("_month")
+    by_month = days.where(F.col(day).isNotNull()).groupBy(*keys, month).agg(F.bit_or(_bit(F.dayofmonth(day))).alias("_held"))
+    by_year = by_month.groupBy(*keys, F.year("_month").alias("_year")).agg(
+        F.sort_array(F.collect_list(F.struct("_month", "_held"))).alias("_months")
     )
 
-    def of_month(month: Column) -> Column:
-        inside = F.filter("_days", lambda d: F.month(d) == month)
-        first = F.make_date(F.col("_year"), month, F.lit(1))
-        whole = F.size(inside) == F.dayofmonth(F.last_day(first))
-        return F.when(whole, F.array(F.date_format(first, "yyyy-MM-'*'"))).otherwise(
+    def whole(m: Column) -> Column:
+        return m["_held"] == _bit(F.dayofmonth(F.last_day(m["_month"])) + 1) - 1
+
+    def of_month(m: Column) -> Column:
+        inside = F.filter(
+            F.sequence(m["_month"], F.last_day(m["_month"])), lambda d: m["_held"].bitwiseAND(_bit(F.dayofmonth(d))) != 0
+        )
+        return F.when(whole(m), F.array(F.date_format(m["_month"], "yyyy-MM-'*'"))).otherwise(
             F.transform(inside, lambda d: d.cast("string"))
         )
 
-    year_days = F.dayofyear(F.make_date(F.col("_year"), F.lit(12), F.lit(31)))
+    all_year = (F.size("_months") == 12) & F.forall("_months", whole)
     year_pattern = F.date_format(F.make_date(F.col("_year"), F.lit(1), F.lit(1)), "yyyy-'*'")
-    months = F.transform(F.sequence(F.lit(1), F.lit(12)), of_month)
-    patterns = F.when(F.size("_days") == year_days, F.array(year_pattern)).otherwise(F.flatten(months))
+    patterns = F.when(all_year, F.array(year_pattern)).otherwise(F.flatten(F.transform("_months", of_month)))
     return by_year.select(*keys, F.explode(patterns).alias("pattern"))
 
 
+def _bit(day_of_month: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), day_of_month - 1)
+
+
 # --- policies --------------------------------------------------------------
 
 
