@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from wardlake.operators import scope
+from wardlake.operators import federate, scope
 
 SCHEMA = "checkup_id long, department_name string, checkup_date date, version int, note string"
 DAY = dt.date(2024, 1, 1)
@@ -46,3 +46,21 @@ def test_grants_of_one_file_are_expanded_by_many_tasks(spark):
     assert scope.expand_days(grants).count() == 91
 
 
+def test_grants_asked_for_by_their_own_rows_are_shuffled_once(spark, tmp_path):
+    kinds = "grant_id string, request_id long, status string, access_key_id string, cred_expiration timestamp"
+    rows = [("g1", 1, "APPROVED", "AK", None), (None, 1, "APPROVED", "AK", None), ("g3", 2, "PENDING", "AK", None), ("g4", 2, "APPROVED", "", None)]
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "g"))
+    spark.createDataFrame([(1, "me"), (2, "me")], "request_id long, requestor_id string").write.parquet(str(tmp_path / "r"))
+    grants = spark.read.parquet(str(tmp_path / "g")).repartition("request_id").distinct()
+    requests = spark.read.parquet(str(tmp_path / "r"))
+    asked = grants.join(requests, "request_id").select("grant_id", F.when(F.col("grant_id") == "g3", "me").otherwise(F.col("requestor_id")).alias("requestor_id"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = federate.resolve(asked, grants, requests, F.lit("2024-01-01").cast("timestamp"))
+        got = {r.grant_id: r.reason for r in out.collect()}
+        plan = executed(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {"g1": None, None: "not found", "g3": "not approved: PENDING", "g4": "no credentials"}
+    assert "ReusedExchange" in plan

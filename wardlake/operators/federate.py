@@ -79,19 +79,19 @@ def grant_reason(status: Column, key: Column, expiration: Column, now: Column, f
 
 
 def resolve(asked: DataFrame, grants: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """``asked`` (requestor_id, grant_id, …) with its grant and the first reason against it."""
+    """``asked`` (requestor_id, grant_id, …) with its grant and the first reason against it.
+
+    What speaks against a grant itself is found before it moves. A grant without an id is
+    nobody's; the join says so itself, so that grants are not filtered and, where the asked
+    ones were made from them, are shuffled once for both.
+    """
+    usable = grant_reason(F.col("status"), F.col("access_key_id"), F.col("cred_expiration"), now, F.lit(True))
     owners = requests.select("request_id", F.col("requestor_id").alias("_owner"))
-    owned = grants.join(owners, "request_id").withColumnsRenamed({"grant_id": "_grant"})
-    mine = (F.col("grant_id") == F.col("_grant")) & (F.col("requestor_id") == F.col("_owner"))
-    joined = asked.join(owned, mine, "left")
-    reason = grant_reason(
-        F.col("status"),
-        F.col("access_key_id"),
-        F.col("cred_expiration"),
-        now,
-        F.col("_grant").isNotNull(),
-    )
-    return joined.withColumn("reason", reason).drop("_grant", "_owner")
+    owned = grants.withColumn("_against", usable).join(owners, "request_id").withColumnsRenamed({"grant_id": "_grant"})
+    same = F.col("grant_id").isNotNull() & F.col("grant_id").eqNullSafe(F.col("_grant"))
+    joined = asked.join(owned, same & (F.col("requestor_id") == F.col("_owner")), "left")
+    reason = F.when(F.col("_owner").isNull(), F.lit("not found")).otherwise(F.col("_against"))
+    return joined.withColumn("reason", reason).drop("_grant", "_owner", "_against")
 
 
 def check_request(request: Request, grants: DataFrame, requests: DataFrame, now: Column) -> list[Branch]:
