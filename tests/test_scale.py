@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from wardlake.operators import federate, scope
+from wardlake.sources.denormalise import denormalise
 
 SCHEMA = "checkup_id long, department_name string, checkup_date date, version int, note string"
 DAY = dt.date(2024, 1, 1)
@@ -23,6 +24,32 @@ def stored(spark, path, rows):
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def test_checkups_do_not_move_for_patients(spark):
+    def frame(columns):
+        return spark.createDataFrame([], ", ".join(f"{c} int" if c.endswith("_id") else f"{c} string" for c in columns.split()))
+
+    tables = {
+        "checkups": frame("checkup_id appointment_id prescription_id recommendation_id notes").withColumn("is_draft", F.lit(False)),
+        "appointments": frame("appointment_id patient_id slot_id"),
+        "patients": frame("patient_id user_id patient_address"),
+        "users": frame("user_id patient_gender"),
+        "slots": frame("slot_id schedule_id"),
+        "schedules": frame("schedule_id doctor_id"),
+        "doctors": frame("doctor_id department_id"),
+        "departments": frame("department_id department_name"),
+        "medications": frame("prescription_id drug_id dose_per_intake times_per_day total_days"),
+        "drugs": frame("drug_id drug_name"),
+        "recommended_tests": frame("recommendation_id lab_test_id"),
+        "lab_tests": frame("lab_test_id test_name"),
+    }
+    lines = denormalise(tables)._jdf.queryExecution().analyzed().toString().splitlines()
+
+    def depth(key):
+        return min(line.index("Join ") for line in lines if "Join LeftOuter" in line and f"({key}#" in line)
+
+    assert depth("patient_id") > depth("appointment_id") and depth("slot_id") > depth("appointment_id")
+
+
 def test_a_day_that_comes_often_costs_one_number(spark):
     days = spark.range(3).select(
         F.col("id").alias("k"), F.explode(F.expr("sequence(date'2023-12-31', date'2024-02-29')")).alias("day")
