@@ -5,6 +5,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from wardlake.operators import federate, scope
+from wardlake.operators.latest import latest, latest_of_stored
+from wardlake.sources import publish
 from wardlake.sources.denormalise import denormalise
 
 SCHEMA = "checkup_id long, department_name string, checkup_date date, version int, note string"
@@ -24,6 +26,37 @@ def stored(spark, path, rows):
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def test_only_repeated_keys_are_shuffled(spark, tmp_path):
+    single = [(i, "A", DAY, 1, "x") for i in range(50)]
+    alone = stored(spark, str(tmp_path / "alone"), single)
+    assert "Exchange" not in executed(latest_of_stored(alone, ["checkup_id"], newest()))
+    more = [(7, "B", DAY, 3, "y"), (None, "A", DAY, 1, "x"), (None, "A", DAY, 2, "x")]
+    both = stored(spark, str(tmp_path / "both"), single + more)
+    got = latest_of_stored(both, ["checkup_id"], newest())
+    assert sorted(map(str, got.collect())) == sorted(map(str, latest(both, ["checkup_id"], newest()).collect()))
+    assert got.count() == 51
+
+
+def test_error_rows_without_copies_stay_in_place(spark, tmp_path):
+    rows = [("a", 1), ("b", 2), ("c", 3)] + [("hot", 4)] * 5
+    spark.createDataFrame(rows, "_held string, v int").write.parquet(str(tmp_path / "e"))
+    held = spark.read.parquet(str(tmp_path / "e"))
+    ids = [r.error_id for r in publish.with_error_id(held, "b1").collect()]
+    assert sorted(ids) == sorted(["a-b1-1", "b-b1-1", "c-b1-1"] + [f"hot-b1-{i}" for i in range(1, 6)])
+    assert "Exchange" not in executed(publish.with_error_id(held.where("v < 4"), "b1"))
+
+
+def test_dealt_rows_are_written_without_a_second_shuffle(spark, tmp_path, monkeypatch):
+    def no_shuffle(*_):
+        raise AssertionError("dealt rows were dealt once more")
+
+    rows = stored(spark, str(tmp_path / "rows"), [(i, "A", DAY, 1, "x") for i in range(9)])
+    path = str(tmp_path / "t")
+    monkeypatch.setattr(publish, "balanced", no_shuffle)
+    publish.upsert(rows, path, "b1", ["checkup_id"], newest(), dealt=True)
+    assert publish.read_table(spark, path).count() == 9
+
+
 def test_checkups_do_not_move_for_patients(spark):
     def frame(columns):
         return spark.createDataFrame([], ", ".join(f"{c} int" if c.endswith("_id") else f"{c} string" for c in columns.split()))
