@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlake.operators import federate, scope
 from wardlake.operators.latest import latest, latest_of_stored
+from wardlake.plans import batch
 from wardlake.sources import publish
 from wardlake.sources.denormalise import denormalise
 
@@ -57,6 +58,25 @@ def test_dealt_rows_are_written_without_a_second_shuffle(spark, tmp_path, monkey
     assert publish.read_table(spark, path).count() == 9
 
 
+def test_a_run_deals_source_rows_not_bundles(spark, tmp_path, monkeypatch):
+    dealt = []
+    balanced = publish.balanced
+
+    def watched(df, partitions=publish.PARTITIONS):
+        dealt.append(df.columns)
+        return balanced(df, partitions)
+
+    monkeypatch.setattr(publish, "balanced", watched)
+    rows = [(1, " A ", "2024-01-01 10:00:00", "2024-01-02"), (2, None, "never", "2024-01-02"), (2, None, "never", "2024-01-02")]
+    checkups = spark.createDataFrame(rows, "checkup_id long, department_name string, checkup_created_at string, checkup_updated_at string")
+    run = batch.run_batch(checkups, str(tmp_path / "lake"), "b", "", "")
+    assert (run.records_extracted, run.records_validated, run.records_failed) == (3, 1, 2)
+    assert dealt and all("fhir_bundle_json" not in columns for columns in dealt)
+    good = publish.read_table(spark, f"{tmp_path}/lake/{publish.TABLE}").collect()
+    assert [(r.department_name, r.checkup_date) for r in good] == [("A", DAY)]
+    assert publish.read_table(spark, f"{tmp_path}/lake/{publish.ERROR_TABLE}").count() == 2
+
+
 def test_checkups_do_not_move_for_patients(spark):
     def frame(columns):
         return spark.createDataFrame([], ", ".join(f"{c} int" if c.endswith("_id") else f"{c} string" for c in columns.split()))
