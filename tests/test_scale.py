@@ -52,10 +52,12 @@ def test_dealt_rows_are_written_without_a_second_shuffle(spark, tmp_path, monkey
         raise AssertionError("dealt rows were dealt once more")
 
     rows = stored(spark, str(tmp_path / "rows"), [(i, "A", DAY, 1, "x") for i in range(9)])
+    later = stored(spark, str(tmp_path / "later"), [(i, "B", DAY, 1, "x") for i in range(20, 29)])
     path = str(tmp_path / "t")
     monkeypatch.setattr(publish, "balanced", no_shuffle)
     publish.upsert(rows, path, "b1", ["checkup_id"], newest(), dealt=True)
-    assert publish.read_table(spark, path).count() == 9
+    publish.upsert(later, path, "b2", ["checkup_id"], newest(), dealt=True)  # partitions of their own
+    assert publish.read_table(spark, path).count() == 18
 
 
 def test_a_run_deals_source_rows_not_bundles(spark, tmp_path, monkeypatch):
