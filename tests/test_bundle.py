@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from wardlake.catalogue.queries import QUERIES
 from wardlake.plans.normalise import SOURCE_COLUMNS, normalise, with_bundle
 from wardlake.plans.validate import status_counts, validate
 
@@ -294,3 +295,17 @@ def test_a_checker_that_raises_spoils_only_its_row(spark):
     assert [r.asDict() for r in validate(df).collect() if r.checkup_id == 1][0]["fhir_bundle_json"] == rows[1].fhir_bundle_json
     plan = validate(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_parsed_bundle_is_not_copied_to_be_checked(spark):
+    rows = spark.createDataFrame([(1, '{"resourceType":"Bundle"}')], "checkup_id long, fhir_bundle_json string")
+    checked = validate(rows, F.lit("2024-01-01").cast("timestamp"))
+    plan = checked.select("validation_error")._jdf.queryExecution().optimizedPlan().toString()
+    assert "$[0].type" in plan and "$[0], VariantType" not in plan
+    assert checked.first().validation_error == "Bundle.type: field required"
+
+
+def test_a_checker_gets_only_what_it_checks(spark, folder):
+    plan = QUERIES["validator_hook"](spark, folder)._jdf.queryExecution().analyzed().toString()
+    line = next(x for x in plan.splitlines() if "MapInArrow" in x)
+    assert "fhir_bundle_json" in line and "symptoms" not in line and "prescription" not in line
