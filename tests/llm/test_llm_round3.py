@@ -8,6 +8,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import connect, rows_of_spark, rows_of_sql
 from public_tokenizers import path as tokenizer_path
@@ -533,3 +534,15 @@ def test_scores_against_brute_force(spark):
         want = sum(math.log10(sum(m * p for m, p in zip(weights[place(context[v])], parts(pair[v, w], context[v], word[w], total), strict=True))) for v, w in pairs[i])
         assert abs(got[i].score - want) < 1e-6 * max(1, len(s)), i
         assert abs(got[i].base_score - sum(math.log10((word[w] + 1) / (total + distinct + 1)) for w in s)) < 1e-9 * max(1, len(s))
+
+
+# Memory and exchanges
+
+
+def test_anchors_of_small_batches_are_settled_together():
+    text = "".join(random.Random(1).choices("abcdefghij", k=300))
+    names = ["doc_id", "text_hash", "text"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([100 + i]), pa.array([text])], names) for i in range(8)]
+    out = pa.Table.from_batches(list(repeats._gather(4)(iter(batches))))
+    settled = out.filter(out["text_hash"].is_valid())
+    assert sorted(settled["doc_id"].to_pylist()) == list(range(8)) and len(out) - len(settled) <= 4

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from wardlake.llm import vec
 from wardlake.llm.packed import pack, ranges, unpack
-from wardlake.llm.scratch import Scratch, partitions, tidy
+from wardlake.llm.scratch import Scratch, partitions, small_batches, tidy, tidy_group
 
 LENGTH = 200
 GRAM = 100
@@ -39,6 +39,7 @@ SPREAD = LENGTH - GRAM  # largest distance from a window's start to its anchor
 BITS = 24  # of a position inside a segment
 SEGMENT = 4 << 20  # bytes of one document taken at once
 RUN = 50_000  # suffixes sorted in memory
+TOGETHER = 1 << 19  # anchors of one task that are looked through at once
 SAMPLE = 256  # every so many suffixes of a run offer a splitter
 KEY = "doc_id long, text_hash long"
 
@@ -81,46 +82,60 @@ def anchors(b: np.ndarray, o: np.ndarray):
 
 def _gather(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, found, first, n = [], [], 0, 0  # ids, nulls and hashes by batch; anchors; rows and anchors so far
+
+        def flush():
+            nonlocal first, n
+            if n:
+                ids, null, hashes = (np.concatenate(x) for x in zip(*rows, strict=True))
+                yield from _settled(ids, null, hashes, [np.concatenate(x) for x in zip(*found, strict=True)], parts)
+            rows.clear(), found.clear()
+            first = n = 0
+
         for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
             null = batch.column(0).is_null().to_numpy(zero_copy_only=False)
-            hashes = batch.column(1).to_numpy()
-            found = [[] for _ in range(5)]
+            rows.append((batch.column(0).fill_null(0).to_numpy(), null, batch.column(1).to_numpy()))
             for low, b, o, base in _segments(*vec.utf8(batch.column(2))):
                 gram, row, pos, lo, hi = anchors(b, o)
-                for held, x in zip(found, (gram, row + low, pos + base, lo, hi), strict=True):
-                    held.append(x)
-            gram, row, pos, lo, hi = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
-            order = np.argsort(gram, kind="stable")
-            gram, row, pos, lo, hi = (x[order] for x in (gram, row, pos, lo, hi))
-            # Grams that repeat in this batch are settled here; one entry tells the others.
-            again = np.zeros(len(gram), bool)
-            again[1:] = gram[1:] == gram[:-1]
-            settled = again.copy()
-            settled[:-1] |= again[1:]
-            known = _by_document(ids, null, hashes, row[settled], pos[settled], lo[settled], hi[settled])
-            n = len(known)
-            if n:
-                part = pa.array(np.arange(n) % parts, pa.int32())
-                yield pa.RecordBatch.from_arrays([part, *(c.combine_chunks() for c in known.columns)], ["part", "doc_id", "text_hash", "blob"])
-            keep = ~again
-            gram, row, pos, lo, hi, settled = (x[keep] for x in (gram, row, pos, lo, hi, settled))
-            out = []
-            for part, s, e in ranges(gram, parts) if len(gram) else []:
-                own, index = np.unique(row[s:e], return_inverse=True)
-                deltas = np.diff(gram[s:e], prepend=np.uint64(0))
-                where = (index.astype(np.uint32), pos[s:e].astype(np.uint32), lo[s:e].astype(np.uint8), hi[s:e].astype(np.uint8))
-                out.append((part, pack(deltas, settled[s:e], *where, ids[own], null[own], hashes[own])))
-            if out:
-                nothing = pa.nulls(len(out), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), nothing, nothing, pa.array([x[1] for x in out], pa.binary())],
-                    ["part", "doc_id", "text_hash", "blob"],
-                )
+                found.append((gram, row + low + first, pos + base, lo, hi))
+                n += len(gram)
+            first += len(batch)
+            if n >= TOGETHER:
+                yield from flush()
+        yield from flush()
 
     return run
 
 
+def _settled(ids, null, hashes, found, parts: int) -> Iterator[pa.RecordBatch]:
+    """Anchors taken together: what repeats among them by document, the rest packed for each range of grams."""
+    order = np.argsort(found[0], kind="stable")
+    gram, row, pos, lo, hi = (x[order] for x in found)
+    # Grams that repeat here are settled; one entry tells the others.
+    again = np.zeros(len(gram), bool)
+    again[1:] = gram[1:] == gram[:-1]
+    settled = again.copy()
+    settled[:-1] |= again[1:]
+    known = _by_document(ids, null, hashes, row[settled], pos[settled], lo[settled], hi[settled])
+    n = len(known)
+    if n:
+        part = pa.array(np.arange(n) % parts, pa.int32())
+        yield pa.RecordBatch.from_arrays([part, *(c.combine_chunks() for c in known.columns)], ["part", "doc_id", "text_hash", "blob"])
+    keep = ~again
+    gram, row, pos, lo, hi, settled = (x[keep] for x in (gram, row, pos, lo, hi, settled))
+    out = []
+    for part, s, e in ranges(gram, parts):
+        own, index = np.unique(row[s:e], return_inverse=True)
+        deltas = np.diff(gram[s:e], prepend=np.uint64(0))
+        where = (index.astype(np.uint32), pos[s:e].astype(np.uint32), lo[s:e].astype(np.uint8), hi[s:e].astype(np.uint8))
+        out.append((part, pack(deltas, settled[s:e], *where, ids[own], null[own], hashes[own])))
+    nothing = pa.nulls(len(out), pa.int64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in out], pa.int32()), nothing, nothing, pa.array([x[1] for x in out], pa.binary())],
+        ["part", "doc_id", "text_hash", "blob"],
+    )
+
+
 def _by_document(ids, null, hashes, which, *columns) -> pa.Table:
     """A row for each document of ``which``, its entries of ``columns`` packed."""
     order = np.argsort(which, kind="stable")
@@ -478,11 +493,12 @@ def _joined(documents: DataFrame) -> DataFrame:
     docs = documents.select(*key, text.alias("text"))
 
     gathered = docs.mapInArrow(tidy(_gather(parts)), f"part int, {KEY}, blob binary")
-    repeated = gathered.groupBy("part").applyInArrow(_repeated, f"{KEY}, blob binary")
+    repeated = gathered.groupBy("part").applyInArrow(tidy_group(lambda _, pieces: _repeated(pieces)), f"{KEY}, blob binary")
     by_doc = repeated.groupBy("doc_id", "text_hash").agg(F.collect_set("blob").alias("anchors"))
     same = "d.doc_id <=> a.doc_id AND d.text_hash = a.text_hash"
     marked = docs.alias("d").join(by_doc.alias("a"), F.expr(same))
-    runs = scratch.keep("runs", marked.select("d.doc_id", "d.text_hash", "d.text", "a.anchors").mapInArrow(tidy(_runs), RUNS))
+    with small_batches(spark):  # whole texts
+        runs = scratch.keep("runs", marked.select("d.doc_id", "d.text_hash", "d.text", "a.anchors").mapInArrow(tidy(_runs), RUNS))
 
     offered = runs.select(F.explode("sample").alias("key"))
     n = runs.agg(F.sum(F.size("sample"))).first()[0] or 0
@@ -491,7 +507,7 @@ def _joined(documents: DataFrame) -> DataFrame:
     chosen = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
     splitters = spark.sparkContext.broadcast(chosen)
     pieces = runs.where("run IS NOT NULL").select("run").mapInArrow(tidy(_cut(splitters)), "part int, blob binary")
-    merged = scratch.keep("merged", pieces.groupBy("part").applyInArrow(_merged(splitters), MERGED))
+    merged = scratch.keep("merged", pieces.groupBy("part").applyInArrow(tidy_group(_merged(splitters)), MERGED))
 
     windows = merged.where("window IS NOT NULL")
     twice = windows.groupBy("window").agg(F.sum("copies").alias("n")).where("n > 1").select("window")

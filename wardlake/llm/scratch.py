@@ -60,9 +60,25 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that has it
-            if trim is not None:
-                trim(0)
+            _give_back()
 
     return inner
+
+
+def tidy_group(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """As `tidy`, for a function of a key and its group: memory goes back after each group."""
+
+    def inner(key: tuple, rows: pa.Table) -> pa.Table:
+        try:
+            return run(key, rows)
+        finally:
+            _give_back()
+
+    return inner
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library that has it
+    if trim is not None:
+        trim(0)
