@@ -546,3 +546,24 @@ def test_anchors_of_small_batches_are_settled_together():
     out = pa.Table.from_batches(list(repeats._gather(4)(iter(batches))))
     settled = out.filter(out["text_hash"].is_valid())
     assert sorted(settled["doc_id"].to_pylist()) == list(range(8)) and len(out) - len(settled) <= 4
+
+
+def test_only_texts_that_stand_for_a_shared_set_are_packed(spark, monkeypatch, tmp_path):
+    words = random.Random(2).choices("abcdefghijklmnopqrstuvwxyz", k=60)
+    near = " ".join(words)
+    alone = [" ".join(f"{w}{i}" for w in words) for i in range(40)]
+    docs = spark.createDataFrame([(1, near), (2, f"{near} end"), (None, near), *((i + 10, t) for i, t in enumerate(alone))], "doc_id long, text string")
+    pack, folder = neighbours._compress, str(tmp_path)
+
+    def noted(batches):
+        import uuid
+
+        for batch in pack(batches):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write(str(batch.num_rows))
+            yield batch
+
+    monkeypatch.setattr(neighbours, "_compress", noted)
+    got = {r.doc_id: r.component_id for r in neighbours.near_duplicates(docs).collect()}
+    assert got[1] == got[2] == 1 and got[10] == 10 and len(got) == 43
+    assert 0 < sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 3

@@ -314,6 +314,11 @@ def _compared(pairs: DataFrame, texts: DataFrame, counts, scratch: Scratch, name
     return both.mapInArrow(tidy(_compare(counts, beyond)), PAIRS)
 
 
+def _named(doc_id: str, tie: str):
+    """A text's place in a bitmap: ids may be null, and texts may share one."""
+    return F.xxhash64(F.coalesce(doc_id, F.lit(0)), tie)
+
+
 SIMILAR = f"100 * both >= {PERCENT} * (n_a + n_b - both)"
 
 
@@ -353,35 +358,39 @@ def _linked(documents: DataFrame) -> DataFrame:
 
     # One text stands for each node that shares a prefix shingle with another. An id
     # (null is one) does not name a text, as rows may repeat it; id and tie do.
-    shared = entries.select("node").distinct()
+    degree = scratch.keep("degree", entries.groupBy("node").agg(F.count("*").alias("degree")))
+    shared = degree.select("node")
     counted = rows.join(shared, "node", "left_semi").groupBy("node", "doc_id", "tie", "n", "sketch").agg(F.count("*").alias("copies"))
     first = counted.groupBy("node").agg(F.min(F.struct("doc_id", "tie", "copies", "n", "sketch")).alias("first"))
     chosen = scratch.keep("chosen", first.select("node", *(F.col(f"first.{c}").alias(f"of_{c}") for c in ("doc_id", "tie", "copies")), "first.n", "first.sketch"))
     marks = chosen.select("node", "n", "sketch")
     same = F.col("doc_id").eqNullSafe(F.col("of_doc_id")) & (F.col("tie") == F.col("of_tie"))
-    small = docs.where("text IS NOT NULL").mapInArrow(tidy(_compress), "doc_id long, tie long, text binary")
+    # A bitmap of the texts that stand for one rules most others out before they are packed and moved.
+    standing = scratch.keep("standing", bitmap_of(chosen.select(_named("of_doc_id", "of_tie").alias("hash"))))
+    asked = among(docs.where("text IS NOT NULL").withColumn("hash", _named("doc_id", "tie")), standing).select("doc_id", "tie", "text")
+    small = asked.mapInArrow(tidy(_compress), "doc_id long, tie long, text binary")
     stands = small.join(chosen.select("node", "of_doc_id", "of_tie"), same).select("node", "text")
     if not chosen.where("of_copies > 1").isEmpty():  # else no text comes twice
         stands = stands.dropDuplicates(["node"])
     texts = scratch.keep("texts", stands)
 
-    degree = entries.groupBy("node").agg(F.count("*").alias("degree"))
     first = entries.join(degree, "node").groupBy("token").agg(
         F.max(F.struct("degree", "node", "n")).alias("first"), F.count("*").alias("members")
     )
-    hubs = first.select("token", "members", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"))
-    hubbed = scratch.keep("hubbed", entries.join(hubs, "token"))
+    hubs = scratch.keep("hubs", first.select("token", "members", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n")))
+    hubbed = entries.drop("l").join(hubs.drop("members"), "token")
     pairs = hubbed.where("node <> hub").where(_close("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     checked = scratch.keep("checked", _compared(_likely(pairs, marks), texts, counts, scratch, "hub").drop("outside"))
-    scratch.drop("entries")
     roots = scratch.keep("roots-1", components(checked.where(SIMILAR).select("a", "b"), scratch))
 
-    named = hubbed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Entries move without their hub: only the larger of the buckets that stay open need it.
+    named = scratch.keep("named", entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    scratch.drop("entries", "degree")
     sizes = named.groupBy("token", "root").agg(F.count("*").alias("held"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("held", "root")).alias("main"), F.count("*").alias("roots"))
-    several = main.where("roots > 1").select("token", F.col("main.root").alias("main"))
+    main = sizes.groupBy("token").agg(F.max(F.struct("held", "root")).alias("main"), F.count("*").alias("roots"), F.sum("held").alias("members"))
+    several = main.where("roots > 1").select("token", "members", F.col("main.root").alias("main"))
     open_ = scratch.keep("open", named.join(several, "token"))
-    scratch.drop("hubbed")
+    scratch.drop("named")
 
     def across(rows: DataFrame, key: str, others: str = "true"):
         """Pairs of different components that share ``key``, once each."""
@@ -393,7 +402,7 @@ def _linked(documents: DataFrame) -> DataFrame:
 
     few = across(open_.where(F.col("members") <= SMALL), "token").groupBy("a", "b").agg(F.count("*").alias("matches"), F.first("l").alias("l"))
     # Larger buckets that are still open: here overlaps with the hub are needed, of all members.
-    large = open_.where(F.col("members") > SMALL)
+    large = open_.where(F.col("members") > SMALL).join(hubs.where(F.col("members") > SMALL).select("token", "hub"), "token")
     asked = large.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     known = scratch.keep("known", _compared(asked, texts, counts, scratch, "large", beyond=True))
     known = known.select(F.col("a").alias("hub"), F.col("b").alias("node"), "both", "outside")
@@ -416,7 +425,7 @@ def _linked(documents: DataFrame) -> DataFrame:
     untried = _likely(candidates.join(done, ["a", "b"], "left_anti"), marks)
     more = _compared(untried, texts, counts, scratch, "rest").where(SIMILAR).select("a", "b")
     more = scratch.keep("links-2", more)
-    scratch.drop("texts", "chosen", "checked", "open", "known", "held", "place")
+    scratch.drop("texts", "chosen", "hubs", "checked", "open", "known", "held", "place")
     if not more.isEmpty():
         joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
         roots = scratch.keep("roots-2", components(joined, scratch))
