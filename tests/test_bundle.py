@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardlake.catalogue.queries import QUERIES
+from wardlake.functions.jsonlist import with_json_items
+from wardlake.plans.bundle import bundle_entries
 from wardlake.plans.normalise import SOURCE_COLUMNS, normalise, with_bundle
 from wardlake.plans.validate import status_counts, validate
 
@@ -309,3 +311,44 @@ def test_a_checker_gets_only_what_it_checks(spark, folder):
     plan = QUERIES["validator_hook"](spark, folder)._jdf.queryExecution().analyzed().toString()
     line = next(x for x in plan.splitlines() if "MapInArrow" in x)
     assert "fhir_bundle_json" in line and "symptoms" not in line and "prescription" not in line
+
+
+def test_fields_of_entries_are_those_of_the_entries_themselves(spark):
+    other = OBSERVATION | {"status": 7, "code": {"text": 'a"\\\n'}}
+    entries = [
+        None,
+        "",
+        "{nope",
+        "[]",
+        '{"entry":{}}',
+        '{"entry":[]}',
+        bundle(OBSERVATION, other, None, "x", {}),
+        bundle(OBSERVATION | {"code": "t"}, other | {"status": None}, other | {"status": {"a": 1}}),
+        bundle(entry=[7, {"resource": other}]),
+        bundle(entry=[None, [{"resource": other}], {"other": 1}]),
+        bundle(other)[:-3],
+        bundle(other) + " tail",
+    ]
+    df = spark.createDataFrame(list(enumerate(entries)), "id long, fhir_bundle_json string")
+    paths = {"status": "status", "text": "code.text"}
+    read = {n: F.try_variant_get("entry", f"$.resource.{p}", "string") for n, p in paths.items()}
+    columns = ["id", "position", "resource_type", *paths]
+    expected = bundle_entries(df).withColumns(read).select(columns)
+    got = bundle_entries(df, fields=paths)
+    assert got.columns == ["id", "fhir_bundle_json", "position", "resource_type", *paths]
+    rows = sorted(map(tuple, got.select(columns).collect()), key=str)
+    assert rows == sorted(map(tuple, expected.collect()), key=str)
+    assert (8, 1, "Observation", "7", 'a"\\\n') in rows and len(rows) == 14
+
+
+def test_entries_are_not_copied_to_be_counted(spark, folder):
+    plan = QUERIES["bundle_resource_counts"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "entry#" in plan and "resource.resourceType" in plan
+    assert "array<variant>" not in plan.split("Generate")[0] and "$.resource." not in plan
+
+
+def test_a_listed_value_is_not_copied_to_be_read(spark):
+    df = with_json_items(spark.createDataFrame([('[{"name":"A"},7]',), ('"a;b"',), ("null",), ("7 days",)], "raw string"), {"raw": "items"})
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "$[0], ArrayType(VariantType" in plan
+    assert [r["items"] for r in df.collect()] == [["A", "7"], ["a", "b"], [], ["7 days"]]
