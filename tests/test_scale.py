@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from wardlake.operators import federate, scope
@@ -146,3 +147,84 @@ def test_grants_asked_for_by_their_own_rows_are_shuffled_once(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert got == {"g1": None, None: "not found", "g3": "not approved: PENDING", "g4": "no credentials"}
     assert "ReusedExchange" in plan
+
+
+def files_of(path):
+    return {f.relative_to(path): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def stored_rows(spark, path):
+    return sorted(map(tuple, publish.read_table(spark, path, spark.createDataFrame([], SCHEMA).schema).select(*[c.split()[0] for c in SCHEMA.split(", ")]).collect()))
+
+
+def test_keys_new_to_a_table_leave_its_files_alone(spark, tmp_path):
+    path = tmp_path / "t"
+    first = [(i, "AB"[i % 2], DAY, 1, "x") for i in range(8)]
+    publish.upsert(spark.createDataFrame(first, SCHEMA), str(path), "b1", ["checkup_id"], newest())
+    before = files_of(path)
+    later = [(i, "AC"[i % 2], DAY, 1, "y") for i in range(10, 14)]
+    publish.upsert(spark.createDataFrame(later, SCHEMA), str(path), "b2", ["checkup_id"], newest())
+    after = files_of(path)
+    assert before.items() <= after.items() and len(after) > len(before)
+    assert stored_rows(spark, str(path)) == sorted(first + later)
+    # An older version in A, a repeated key, and a key of its own: only C stays as it is.
+    more = [(0, "B", DAY, 2, "z"), (20, "B", DAY, 1, "p"), (20, "A", DAY, 2, "q"), (30, "C", DAY, 1, "r"), (31, "D", DAY, 1, "s")]
+    wanted = sorted(first[1:] + later + [more[0], *more[2:]])
+    publish.upsert(spark.createDataFrame(more, SCHEMA), str(path), "b3", ["checkup_id"], newest())
+    assert stored_rows(spark, str(path)) == wanted
+    assert all(files_of(path).get(f) == m for f, m in after.items() if "department_name=C" in str(f))
+    publish.upsert(spark.createDataFrame(more, SCHEMA), str(path), "b3", ["checkup_id"], newest())  # a replay
+    assert stored_rows(spark, str(path)) == wanted
+
+
+def test_valid_rows_are_written_once(spark, tmp_path, monkeypatch):
+    written_to = []
+    write_table = publish.write_table
+    monkeypatch.setattr(publish, "write_table", lambda df, path, *a, **k: (written_to.append(path), write_table(df, path, *a, **k)))
+    kinds = "checkup_id long, department_name string, checkup_created_at string, checkup_updated_at string"
+    root, when = str(tmp_path / "lake"), "2024-01-01 10:00:00"
+    for k in range(3):
+        rows = [(10 * k + i, "a/b = c" if i % 2 else None, when, when) for i in range(4)] + [(10 * k + 9, "A", "never", when)]
+        run = batch.run_batch(spark.createDataFrame(rows, kinds), root, f"b{k}", "", "")
+        assert (run.records_validated, run.records_failed) == (4, 1)
+    assert written_to and all(p.endswith(publish.ERROR_TABLE) for p in written_to)
+    held = publish.read_table(spark, f"{root}/{publish.TABLE}")
+    assert sorted(r.checkup_id for r in held.collect()) == sorted(10 * k + i for k in range(3) for i in range(4))
+    assert not {"_held", "_table", "error_id"} & set(held.columns) and {r.batch_id for r in held.collect()} == {"b0", "b1", "b2"}
+    assert {r.department_name for r in held.collect()} == {"a/b = c", "unassigned"}
+    errors = publish.read_table(spark, f"{root}/{publish.ERROR_TABLE}").collect()
+    assert sorted((r.checkup_id, r.batch_id) for r in errors) == [(9, "b0"), (19, "b1"), (29, "b2")]
+    assert all(r.error_id.endswith(f"-{r.batch_id}-1") for r in errors)
+
+
+def test_rows_added_in_part_are_not_held_twice(spark, tmp_path, monkeypatch):
+    kinds = "checkup_id long, department_name string, checkup_created_at string, checkup_updated_at string"
+    root, when = str(tmp_path / "lake"), "2024-01-01 10:00:00"
+    batch.run_batch(spark.createDataFrame([(1, "A", when, when)], kinds), root, "b1", "", "")
+    rows = spark.createDataFrame([(i, "ABC"[i % 3], when, when) for i in range(1, 9)], kinds)
+    add = publish._add
+
+    def stopped(*args):
+        add(*args)
+        raise RuntimeError("stopped once rows were added")
+
+    monkeypatch.setattr(publish, "_add", stopped)
+    with pytest.raises(RuntimeError):
+        batch.run_batch(rows, root, "b2", "", "")
+    monkeypatch.undo()
+    batch.run_batch(rows, root, "b2", "", "")
+    assert sorted(r.checkup_id for r in publish.read_table(spark, f"{root}/{publish.TABLE}").collect()) == list(range(1, 9))
+
+
+def test_rows_without_a_partition_value_are_added_and_merged(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(1, None, DAY, 1, "a"), (2, "A", None, 1, "b"), (3, None, DAY, 1, "c")]
+    for i, row in enumerate(rows):
+        publish.upsert(spark.createDataFrame([row], SCHEMA), path, f"b{i}", ["checkup_id"], newest())
+    both = [(1, "A", None, 2, "d"), (4, None, None, 1, "e"), (5, "B", DAY, 1, "f")]
+    publish.upsert(spark.createDataFrame(both, SCHEMA), path, "b9", ["checkup_id"], newest())
+    got = publish.read_table(spark, path, spark.createDataFrame([], SCHEMA).schema)
+    assert {r.checkup_id: (r.department_name, r.checkup_date, r.note) for r in got.collect()} == {
+        1: ("A", None, "d"), 2: ("A", None, "b"), 3: (None, DAY, "c"), 4: (None, None, "e"), 5: ("B", DAY, "f")
+    }
+    assert got.count() == 5
